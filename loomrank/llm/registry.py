@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import chat, fingerprint, jaccard_join, licences, packing, quality, tokens, toxicity
 
-QUERIES = {"op9_jaccard_join": jaccard_join.op9_jaccard_join}
-ORACLE_SQL = dict(jaccard_join.SQL)
+QUERIES = {
+    "op1_lexical_packing": packing.op1_lexical_packing,
+    "op2_quartile_digest": fingerprint.op2_quartile_digest,
+    "op3_quality": quality.op3_quality,
+    "op5_bpe_encode": tokens.op5_bpe_encode,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_licence_scan": licences.op7_licence_scan,
+    "op8_reply_trees": chat.op8_reply_trees,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_token_counts": tokens.op10_token_counts,
+}
+ORACLE_SQL = {**fingerprint.SQL, **licences.SQL, **chat.SQL, **jaccard_join.SQL}
