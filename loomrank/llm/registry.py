@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, jaccard_join, licences, packing, quality, tokens, toxicity
+from . import chat, fingerprint, jaccard_join, licences, packing, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_lexical_packing": packing.op1_lexical_packing,
     "op2_quartile_digest": fingerprint.op2_quartile_digest,
     "op3_quality": quality.op3_quality,
+    "op4_pii": pii.op4_pii,
     "op5_bpe_encode": tokens.op5_bpe_encode,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_licence_scan": licences.op7_licence_scan,
