@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._shared import documents, small_batches, table
 from ._text import Words, blocks, mix, utf8
 
-MAX_TRAIN = 3000
+MAX_TRAIN = 1200
 SLOTS = 1 << 18
 KEEP, REJECT = 0.5, 0.2
 SCHEMA = "doc_id bigint, probability double, decision string"

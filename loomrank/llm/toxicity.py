@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._shared import documents, small_batches, table
 from ._text import blocks, lowered
 
-MAX_TRAIN = 4000
+MAX_TRAIN = 2000
 FALSE_RATE, COST = 0.02, 3.0
 WIDE, WIDE_STEP, CLOSE, CLOSE_STEP = 96, 80, 64, 32
 GATE = 1
