@@ -32,7 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded bytes, so that very long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:

@@ -7,6 +7,7 @@ a polynomial over the bytes, taken from prefix sums modulo 2**64, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,8 +108,17 @@ def hash_words(words: list[str]) -> np.ndarray:
     return Words(pa.array([" ".join(words)])).hash if words else np.zeros(0, np.uint64)
 
 
-def blocks(batches, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each part has about ``most`` bytes of text, or one row."""
+def release() -> None:
+    """Give freed memory back to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def blocks(batches, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each part has about ``most`` bytes of text, or one row; at the end memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -118,3 +128,4 @@ def blocks(batches, column: str = "text", most: int = 4 << 20) -> Iterator[pa.Re
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    release()
