@@ -2,8 +2,8 @@
 
 Shards.  A document's key is the least hash among its words of ``LONG`` letters or more (of all words if it has none), so
 copies and documents with passages in common tend to meet.  Keys are spread over buckets, each sorted by key and id and
-cut into shards of about ``shard_bytes`` of text; their number grows with the corpus, their size doesn't.  Document
-frequencies and the mean length are counted over the whole corpus; each shard has an inverted index of its own
+cut into shards of about ``shard_bytes`` of text (and 16 bytes a document, so that a shard has fewer than 2**20); their
+number grows with the corpus, their size doesn't.  Words are told apart by 44 bits of their hash.  Document frequencies and the mean length are counted over the whole corpus; each shard has an inverted index of its own
 documents, and its windows are filled from it.
 
 Packing.  A shard's documents are taken in order (key, id, text hash).  A document longer than ``window`` words is cut:
@@ -29,50 +29,75 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import documents, small_batches, table
-from ._text import Words, mix
+from ._text import Words, blocks, mix, release
 
 WINDOW, SHARD_BYTES, LONG = 2048, 16 << 20, 8
 K1, B = 1.2, 0.75
 SCHEMA = "shard bigint, window int, seed bigint, doc_ids array<bigint>, starts array<int>, ends array<int>, words array<int>, scores array<double>, n_words int"
 
 
+DOC_BITS = np.uint64(20)
+_DOC = np.uint64((1 << 20) - 1)
+
+
 class Shard:
-    """Term vectors of a shard's documents."""
+    """Postings of a shard's documents, sorted by term and document: ``doc``, ``term`` (index into ``terms``), ``tf``."""
 
     def __init__(self, texts):
-        w = Words(texts)
-        self.words = w
-        self.length = np.diff(w.first)
-        doc = np.repeat(np.arange(len(self.length)), self.length)
-        self.terms, term = np.unique(w.hash, return_inverse=True)
-        key, self.tf = np.unique(doc * max(1, len(self.terms)) + term, return_counts=True)
-        self.doc, self.term = key // max(1, len(self.terms)), key % max(1, len(self.terms))
+        keys, lengths, at = [], [], 0
+        for part in blocks([pa.record_batch([texts], ["text"])]):
+            w = Words(part.column("text"))
+            size = np.diff(w.first)
+            keys.append((w.hash & ~_DOC) | np.repeat(np.arange(at, at + len(size), dtype=np.uint64), size))
+            lengths.append(size)
+            at += len(size)
+        self.length = np.concatenate([*lengths, np.zeros(0, np.int64)])
+        key = np.concatenate([*keys, np.zeros(0, np.uint64)])
+        del keys
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.tf = np.diff(first, append=len(key)).astype(np.int32)
+        key = key[first]
+        self.doc = (key & _DOC).astype(np.int32)
+        key >>= DOC_BITS
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        self.terms = key[new]
+        self.term = (np.cumsum(new) - 1).astype(np.int32)
         self.df = np.bincount(self.term, minlength=len(self.terms))
 
 
 def pack(length: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float, window: int):
-    """Yields windows as lists of (document, first word, end word, score)."""
+    """Yields windows as lists of (document, first word, end word, score); postings are sorted by term and document."""
     n = len(length)
     for d in range(n):
         for a in range(0, length[d] - window + 1, window):
             yield [(d, a, a + window, 0.0)]
     tail = length % window
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-    by_term = np.argsort(term, kind="stable")
-    post_doc, post_weight = doc[by_term], weight[by_term]
-    post = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
-    own = np.searchsorted(doc, np.arange(n + 1))
+    by_doc = np.argsort(doc, kind="stable")
+    terms_of, own = term[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1))
+    del by_doc
+    edges = np.arange(len(idf) + 1)
+    post = np.searchsorted(term, edges)
     unused = tail > 0
+    left = held = int(unused.sum())
     for seed in np.flatnonzero(unused):
         if not unused[seed]:
             continue
         unused[seed] = False
+        left -= 1
         out, room = [(seed, length[seed] - tail[seed], length[seed], 0.0)], window - tail[seed]
         fits = np.flatnonzero(unused & (tail <= room))
         if len(fits):
-            t = term[own[seed] : own[seed + 1]]
-            lists = [slice(post[x], post[x + 1]) for x in t]
-            score = np.bincount(np.concatenate([post_doc[s] for s in lists]), np.concatenate([post_weight[s] for s in lists]), minlength=n)[fits]
+            if left < 0.7 * held:  # postings of used documents leave the index
+                keep = unused[doc]
+                doc, term, weight, held = doc[keep], term[keep], weight[keep], left
+                post = np.searchsorted(term, edges)
+            t = terms_of[own[seed] : own[seed + 1]]
+            lists = [slice(a, b) for a, b in zip(post[t].tolist(), post[t + 1].tolist()) if a < b]
+            score = np.zeros(len(fits))
+            if lists:
+                score = np.bincount(np.concatenate([doc[s] for s in lists]), np.concatenate([weight[s] for s in lists]), minlength=n)[fits]
             score = np.round(score, 6)
             order = np.argsort(-score, kind="stable")
             order = order[score[order] > 0]
@@ -83,6 +108,7 @@ def pack(length: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray,
                 if size[k] <= room:
                     out.append((d, length[d] - tail[d], length[d], float(score[order[k]])))
                     unused[d] = False
+                    left -= 1
                     room -= size[k]
                     if room == 0:
                         break
@@ -120,11 +146,12 @@ def _statistics(batches):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(term), pa.array(np.full(len(n), at)), pa.array(n.astype(np.int64))], ["kind", "term", "shard", "n"])
 
     for at, docs in _shards(batches):
-        s = Shard(docs.column("text"))
+        s = Shard(docs.column("text").combine_chunks())
         for a in range(0, len(s.terms), 50000):
             yield rows(0, s.terms[a : a + 50000].view(np.int64), at, s.df[a : a + 50000])
         yield rows(1, np.zeros(1, np.int64), at, np.array([len(s.length)]))
         yield rows(2, np.zeros(1, np.int64), at, np.array([s.length.sum()]))
+    release()
 
 
 def _pack(window: int):
@@ -138,16 +165,16 @@ def _pack(window: int):
         mean = int(n[kind == 2][0]) / n_docs
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         ids = left.column("doc_id").to_pylist()
-        w = s.words
-        chars = {}
+        starts: dict[int, Words] = {}
 
         def edge(d: int, k: int) -> int:
             """Character at which word k of document d begins; the text's edges at its first and last."""
             if k in (0, s.length[d]):
                 return 0 if k == 0 else len(texts[int(d)].as_py())
-            if d not in chars:
-                chars[d] = w.data[w.offsets[d] : w.offsets[d + 1]]
-            return int(((chars[d][: w.start[w.first[d] + k] - w.offsets[d]] & 0xC0) != 0x80).sum())
+            if d not in starts:
+                starts.clear()
+                starts[d] = Words(texts.slice(int(d), 1))
+            return int(((starts[d].data[: starts[d].start[k]] & 0xC0) != 0x80).sum())
 
         shard = left.column("shard")[0].as_py()
         rows = []
@@ -155,6 +182,7 @@ def _pack(window: int):
             d, a, b, score = zip(*pieces)
             own = [int(y - x) for x, y in zip(a, b)]
             rows.append((shard, k, ids[d[0]], [ids[x] for x in d], [edge(x, y) for x, y in zip(d, a)], [edge(x, y) for x, y in zip(d, b)], own, list(score), sum(own)))
+        release()
         columns = list(zip(*rows)) or [()] * 9
         i32, i64 = pa.int32(), pa.int64()
         kinds = [i64, i32, i64, pa.list_(i64), pa.list_(i32), pa.list_(i32), pa.list_(i32), pa.list_(pa.float64()), i32]
@@ -165,8 +193,6 @@ def _pack(window: int):
 
 def _keys(long: int):
     def run(batches):
-        from ._text import blocks
-
         for batch in blocks(batches):
             w = Words(batch.column("text"))
             n = len(w.first) - 1
@@ -192,7 +218,7 @@ def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES, long: int = LONG) -
     d = d.mapInArrow(_keys(long), "doc_id bigint, text string, key bigint, n_words bigint").drop("n_words")
     d = d.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     order = Window.partitionBy("bucket").orderBy("key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("text").cast("bigint")).over(order), F.lit(0))
+    before = F.coalesce(F.sum(F.octet_length("text").cast("bigint") + 16).over(order), F.lit(0))
     return d.withColumn("shard", F.col("bucket") * F.lit(1 << 32) + (before / shard_bytes).cast("bigint"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, small_batches, table
-from ._text import Words, blocks, mix, utf8
+from ._text import Words, blocks, mix, release, utf8
 
 MAX_TRAIN = 1200
 SLOTS = 1 << 18
@@ -84,16 +84,15 @@ def raw_scores(texts, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.
 
 
 def _sparse(texts):
-    """Rows (document, slot, share) of all kinds, one a document and slot and kind."""
-    docs, slots, shares = [], [], []
-    for slot, doc in features(texts):
-        key, count = np.unique(doc.astype(np.int64) * SLOTS + slot, return_counts=True)
-        d = key // SLOTS
-        docs.append(d)
-        slots.append(key % SLOTS)
-        shares.append(count / np.bincount(d, count)[d])
-    cat = lambda x, t: np.concatenate([*x, np.zeros(0, t)]).astype(t)
-    return cat(docs, np.int64), cat(slots, np.int64), cat(shares, np.float64)
+    """Rows (document, slot, share) of all kinds, one a document and slot and kind, in pieces of some documents each."""
+    at = 0
+    for part in blocks([pa.record_batch([texts], ["text"])], most=1 << 19):
+        for slot, doc in features(part.column("text")):
+            key, count = np.unique(doc.astype(np.int64) * SLOTS + slot, return_counts=True)
+            d = key // SLOTS
+            share = count / np.bincount(d, count)[d]
+            yield (d + at).astype(np.int32), (key % SLOTS).astype(np.int32), share.astype(np.float32)
+        at += part.num_rows
 
 
 def _sigmoid(x):
@@ -125,21 +124,25 @@ def train(texts: list[str], good: list[int], rounds: int = 120, rate: float = 0.
     column = pa.array(texts, pa.large_string())
     fit, rest = column.filter(pa.array(~held)), column.filter(pa.array(held if held.any() else ~held))
     yf, yr = y[~held], y[held if held.any() else ~held]
-    doc, slot, share = _sparse(fit)
-    used, at = np.unique(slot, return_inverse=True)
+    rows = list(_sparse(fit))
     weight = np.where(yf == 1, 0.5 / yf.sum(), 0.5 / (1 - yf).sum())
-    w, bias, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    w, bias, m, v = np.zeros(SLOTS), 0.0, np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     for k in range(1, rounds + 1):
-        p = _sigmoid(np.bincount(doc, w[at] * share, minlength=len(yf)) + bias)
-        err = weight * (p - yf)
-        g = np.append(np.bincount(at, err[doc] * share, minlength=len(used)) + decay * w, err.sum())
+        z = np.full(len(yf), bias)
+        for doc, slot, share in rows:
+            z += np.bincount(doc, w[slot] * share, minlength=len(yf))
+        err = weight * (_sigmoid(z) - yf)
+        g = np.append(decay * w, err.sum())
+        for doc, slot, share in rows:
+            g[:-1] += np.bincount(slot, err[doc] * share, minlength=SLOTS)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w -= step[:-1]
         bias -= 0.1 * step[-1]
-    weights = np.zeros(SLOTS, np.float32)
-    weights[used] = w
-    score, _ = raw_scores(rest, weights, bias)
+    weights = w.astype(np.float32)
+    del rows
+    release()
+    score = np.concatenate([raw_scores(b.column("text"), weights, bias)[0] for b in blocks([pa.record_batch([rest], ["text"])])])
     return Model(weights, float(bias), *_platt(score, yr))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, small_batches, table
-from ._text import blocks, lowered
+from ._text import blocks, lowered, release
 
 MAX_TRAIN = 2000
 FALSE_RATE, COST = 0.02, 3.0
@@ -195,7 +195,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     rows = sorted(map(tuple, sample(documents(docs), labels, "toxic", most).collect()))
-    return train([r[2] for r in rows], [r[3] for r in rows])
+    model = train([r[2] for r in rows], [r[3] for r in rows])
+    del rows
+    release()
+    return model
 
 
 def _scored(model: Model):
