@@ -40,7 +40,7 @@ FALSE_RATE, COST = 0.02, 3.0
 WIDE, WIDE_STEP, CLOSE, CLOSE_STEP = 96, 80, 64, 32
 GATE = 1
 STEMS = (4, 5, 6)
-RATIO, COMMON = 25, 0.02
+RATIO, COMMON = 40, 0.02
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
 TOP = 3
 SCHEMA = "doc_id bigint, score int, windows int, marked int, toxic boolean"
