@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 _W = "[0-9A-Za-z_]"
 _A, _Z = f"(?<!{_W})", f"(?!{_W})"
@@ -76,7 +77,8 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts in which no rule can match are told by one built-in expression and pass by without leaving the JVM's hands
     changed; the rest need a test for each match, so they go through an Arrow-batched function.
     """
-    schema = docs.schema.add("findings", "array<struct<kind:string,count:int>>")
+    found = ArrayType(StructType([StructField("kind", StringType()), StructField("count", IntegerType())]))
+    schema = StructType([*docs.schema.fields, StructField("findings", found)])
 
     def run(batches):
         for batch in batches:

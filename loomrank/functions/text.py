@@ -33,7 +33,7 @@ def first_words(text: Column, n: int) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed; null if there is none."""
-    return F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
 
 
 def line_slice(text: Column, first: int | None, last: int | None) -> Column:

@@ -15,7 +15,7 @@ NODE_TOP, FACT_TOP, FACT_NODES, SHOWN = 24, 12, 8, 14
 
 def _fields(line):
     clean = F.regexp_replace(F.regexp_replace(F.trim(line), "^- ", ""), "^`+|`+$", "")
-    return F.transform(F.split(clean, r"\|"), F.trim)
+    return F.transform(F.split(clean, r"\|"), lambda x: F.trim(x))
 
 
 def parsed(outputs: DataFrame, tagged: bool = False) -> DataFrame:
@@ -132,8 +132,8 @@ def canonical_names(entities: DataFrame) -> DataFrame:
         return pa.table({"name": [r[0] for r in out], "canonical": [r[1] for r in out]})
 
     left = names.join(label.withColumnRenamed("node", "name"), "name")
-    right = pairs.join(label.select(F.col("node").alias("a"), "label"), "a")
-    return left.groupBy("label").cogroup(right.groupBy("label")).applyInArrow(run, "name string, canonical string")
+    right = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("of")), "a")
+    return left.groupBy("label").cogroup(right.groupBy("of")).applyInArrow(run, "name string, canonical string")
 
 
 def propagate_labels_min(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,10 +143,10 @@ def propagate_labels_min(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = written(pairs.union(pairs.select("b", "a")), "alike")
     label = nodes.withColumn("label", F.col("node"))
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = label.join(near, label.node == near.a, "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
-        up = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = written(step.join(up, "label").select("node", F.col("up").alias("label"), "old"), "alike-labels")
+        near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("heard")), "b").groupBy(F.col("a").alias("node")).agg(F.min("heard").alias("near"))
+        step = label.select("node", F.col("label").alias("old")).join(near, "node", "left").select("node", F.least("old", F.coalesce("near", "old")).alias("to"), "old")
+        up = label.select(F.col("node").alias("to"), F.col("label").alias("up"))
+        step = written(step.join(up, "to").select("node", F.col("up").alias("label"), "old"), "alike-labels")
         label = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
             return label
