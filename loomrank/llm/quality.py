@@ -6,7 +6,8 @@ independent of length, so a text is read whole and its n-grams are summed in one
 
 Weights are learnt by Adam on the logistic loss over a sample of at most ``MAX_TRAIN`` labelled documents of each
 class (those whose ids hash least); classes weigh alike.  A quarter of the sample isn't trained on: Platt scaling on it
-turns scores into probabilities of good quality at the sample's natural rates.  Documents from ``KEEP`` on are kept,
+turns scores into probabilities of good quality at the natural rates of all labels, as each row stands for as many
+labels as its class has for each one sampled.  Documents from ``KEEP`` on are kept,
 below ``REJECT`` rejected, between them for review.
 
 Nulls: a null or empty text has no features and gets probability 0 and decision 'reject'.  A null id stays null,
@@ -99,22 +100,24 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method, with Platt's smoothed targets."""
+def _platt(score: np.ndarray, y: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
+    """Slope and shift by Newton's method, with Platt's smoothed targets; a row of class c stands for so many labels."""
+    weight = np.where(y == 1, stands_for[1], stands_for[0])
+    weight = weight / weight.mean()
     up, down = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
     x = np.stack([score, np.ones_like(score)], 1)
     b = np.array([1.0, 0.0])
     for _ in range(50):
         p = _sigmoid(x @ b)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - t) + 1e-6 * b)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (p - t)) + 1e-6 * b)
         b = b - np.clip(step, -5, 5)
         if abs(step).max() < 1e-8:
             break
     return float(b[0]), float(b[1])
 
 
-def train(texts: list[str], good: list[int], rounds: int = 120, rate: float = 0.5, decay: float = 1e-5) -> Model:
+def train(texts: list[str], good: list[int], rounds: int = 120, rate: float = 0.5, decay: float = 1e-5, stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
     y = np.array(good, np.float64)
     if len(set(good)) < 2:
         return Model(np.zeros(SLOTS, np.float32), 0.0, 1.0, 0.0, float(y.mean()) if len(y) else 1.0)
@@ -143,7 +146,7 @@ def train(texts: list[str], good: list[int], rounds: int = 120, rate: float = 0.
     del rows
     release()
     score = np.concatenate([raw_scores(b.column("text"), weights, bias)[0] for b in blocks([pa.record_batch([rest], ["text"])])])
-    return Model(weights, float(bias), *_platt(score, yr))
+    return Model(weights, float(bias), *_platt(score, yr, stands_for))
 
 
 def probabilities(texts, model: Model) -> np.ndarray:
@@ -156,9 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     chosen = known.filter("y = 0").orderBy("h", "doc_id").limit(most).union(known.filter("y = 1").orderBy("h", "doc_id").limit(most))
+    counted = dict(map(tuple, known.groupBy("y").count().collect()))
+    stands_for = tuple(counted.get(c, 0) / max(1, min(most, counted.get(c, 0))) for c in (0, 1))
     rows = documents(docs).join(F.broadcast(chosen), "doc_id").filter("text is not null").select("h", "doc_id", "text", "y").collect()
     rows = sorted(map(tuple, rows))
-    return train([r[2] for r in rows], [r[3] for r in rows])
+    return train([r[2] for r in rows], [r[3] for r in rows], stands_for=stands_for)
 
 
 def _scored(model: Model):

@@ -275,6 +275,15 @@ def test_quality_held_out(spark):
     assert ((p >= 0.5) == y).mean() > 0.85 and (p[y == 1] < quality.REJECT).mean() < 0.05
 
 
+def test_quality_calibrated_at_the_rates_of_all_labels(spark):
+    """A sample with as many bad as good labels doesn't change the probabilities: 6 of 7 are good, and texts don't tell which."""
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(700)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(700)], "doc_id bigint, quality int")
+    texts = pa.array([prose(i, 30) for i in range(5000, 5100)])
+    for most in (80, 1200):
+        assert abs(quality.probabilities(texts, quality.fit(docs, known, most)).mean() - 6 / 7) < 0.1
+
+
 def test_toxicity_held_out(spark):
     """Some labels are wrong: of documents labelled toxic nearly a half have no toxic word; clean ones stay."""
     fit, rest, y = _held_out(spark, "/root/testdata/sf0.1", "toxic")
