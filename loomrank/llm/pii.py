@@ -2,7 +2,9 @@
 
 1. Candidates: runs without white space that hold a digit or '@', over the whole text.  Neighbouring runs of digits and
    telephone marks are one candidate, as in ``+1 (555) 010-9999``.  Of ``name=value`` and ``name = "value"`` the value
-   is the candidate and the name goes to its left context.
+   is the candidate and the name goes to its left context.  Where a strict rule matches inside a run, as in JSON, HTML,
+   URLs and lists, the match is a candidate and so is each part of the run beside it; values of names like
+   ``password`` are candidates without a digit too.
 2. Seeds: candidates that strict rules know, such as mail addresses, dotted quads, numbers with a Luhn digit, numbers
    with a country code, well-known key prefixes, and values of names like ``password``.
 3. Patterns: a candidate's shapes (letters, digits and marks in order, with run lengths and without), and the words to
@@ -27,6 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,17 @@ RULES: list[tuple[str, re.Pattern]] = [
 ]
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
 _NAMES = re.compile(r"(?:^|[^a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key)$")
+#: the rules as they stand within a text
+_INSIDE = [
+    re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{RULES[0][1].pattern})(?![A-Za-z0-9-]|\.[A-Za-z0-9])"),
+    re.compile(rf"(?<![\w.])(?:{RULES[1][1].pattern})(?!\w|\.\w)"),
+    re.compile(rf"(?<![\w+])(?:{RULES[2][1].pattern})(?!\w|[.-]\d)"),
+    re.compile(rf"(?<![A-Za-z0-9])(?:{RULES[3][1].pattern})(?![A-Za-z0-9])"),
+]
+_CARD_INSIDE = re.compile(rf"(?<![\w.+-]){_CARD.pattern}(?![\w-]|\.\d)")
+_NAME = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)"
+_NAMED = re.compile(rf"""(?i)(?<![a-z])({_NAME})["']?\s*(?::=|=|:)\s*(?:"([^"\s]{{8,}})"|'([^'\s]{{8,}})'|([^\s"'<>{{}}]{{8,}}))""")
+_ENDS = "*&$%#!.,;:?\"')]}>|"
 _NUMBERISH = re.compile(r"[+(]*\d[\d().+/-]*")
 _RUN = re.compile(r"[A-Z]+|[a-zß-ÿ]+|\d+|.", re.S)
 
@@ -104,8 +118,52 @@ def _part(run: str) -> bool:
     return bool(_NUMBERISH.fullmatch(run)) and sum(map(str.isdigit, run)) <= 7
 
 
+def _inside(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of each place that a strict rule takes, apart from cards; the earlier and longer ones first."""
+    found = [(*m.span(), "") for rule in _INSIDE for m in rule.finditer(text)]
+    for m in _NAMED.finditer(text):
+        a, b = m.span(m.lastindex)
+        while m.lastindex == 4 and b > a and text[b - 1] in _ENDS:
+            b -= 1
+        if b - a >= 8:
+            found.append((a, b, m.group(1).lower()))
+    out: list[tuple[int, int, str]] = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
+
+
+def _pieces(text: str, spans: list[list[int]], inside: list[tuple[int, int, str]]):
+    """(start, end, name, whether a rule took it) of the places in ``inside`` and of what they leave of the spans."""
+    left, k = [], 0
+    for a, b, _ in spans:
+        while k and inside[k - 1][1] > a:
+            k -= 1
+        while k < len(inside) and inside[k][0] < b:
+            x, y, _ = inside[k]
+            if y > a:
+                if x > a:
+                    left.append((a, x))
+                a = max(a, y)
+            k += 1
+        if a < b:
+            left.append((a, b))
+    out = [(a, b, name, True) for a, b, name in inside]
+    for a, b in left:
+        for m in _CARD_INSIDE.finditer(text, a, b):
+            if luhn(re.sub(r"\D", "", m.group())):
+                if m.start() > a:
+                    out.append((a, m.start(), "", False))
+                out.append((*m.span(), "", True))
+                a = m.end()
+        if a < b:
+            out.append((a, b, "", False))
+    return sorted(out)
+
+
 def candidates(text: str):
-    """(start, end, value, left, right) of each candidate of a text."""
+    """(start, end, value, name or left, left, right) of each candidate of a text."""
     spans: list[list[int]] = []  # start, end, start of the last run
     for m in re.finditer(r"[0-9@]\S*", text):
         a = m.start()
@@ -118,19 +176,22 @@ def candidates(text: str):
             spans[-1][1:] = b, a
         else:
             spans.append([a, b, a])
-    for a, b, _ in spans:
-        name = ""
-        eq = re.match(r"([\w.-]*[A-Za-z][\w.-]*)\s*[=:]\s*(?=\S)", text[a:b])
-        if eq and eq.end() < b - a:
-            name, a = eq.group(1).lower(), a + eq.end()
-        while b > a and text[b - 1] in "*&$%#!.,;:?\"')]}>|":
-            if text[b - 1] == ")" and "(" in text[a:b]:
-                break
-            b -= 1
-        while a < b and text[a] in "\"'[{<*&$%#!,;:|" or (a < b and text[a] == "(" and ")" not in text[a:b]):
-            a += 1
+    for a, b, name, sure in _pieces(text, spans, _inside(text)):
+        if sure and not name:
+            eq = re.search(r"([\w.-]*[A-Za-z][\w.-]*)\s*[=:]\s*[\"']?$", text[max(0, a - 80) : a])
+            name = eq.group(1).lower() if eq and not eq.group().endswith(" ") else ""
+        elif not sure:
+            eq = re.match(r"(?=[\w.-]*?[A-Za-z])([\w.-]++)\s*[=:]\s*(?=\S)", text[a:b])
+            if eq and eq.end() < b - a:
+                name, a = eq.group(1).lower(), a + eq.end()
+            while b > a and text[b - 1] in _ENDS:
+                if text[b - 1] == ")" and "(" in text[a:b]:
+                    break
+                b -= 1
+            while a < b and text[a] in "\"'[{<*&$%#!,;:|" or (a < b and text[a] == "(" and ")" not in text[a:b]):
+                a += 1
         value = text[a:b]
-        if not value or not any(c.isdigit() or c == "@" for c in value):
+        if not value or not (sure or any(c.isdigit() or c == "@" for c in value)):
             continue
         before = text[max(0, a - 80) : a].rstrip("\"'").split()
         after = text[b : b + 40].split()
@@ -143,7 +204,8 @@ def candidates(text: str):
 def _places(batches):
     for batch in blocks(batches):
         data, offsets = utf8(batch.column("text"))
-        hit = np.unique(np.searchsorted(offsets, _hits(data), "right") - 1)
+        named = pc.fill_null(pc.match_substring_regex(batch.column("text"), _NAME, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        hit = np.union1d(np.searchsorted(offsets, _hits(data), "right") - 1, np.flatnonzero(named))
         rows = []
         for i in hit.tolist():
             text = data[offsets[i] : offsets[i + 1]].tobytes().decode()

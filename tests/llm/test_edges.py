@@ -107,6 +107,19 @@ def test_masking(spark):
     assert got == {1: ("write to [EMAIL] now", 20), 2: ("nothing here", 12), None: (None, None)}
 
 
+def test_pii_inside_runs(spark):
+    """Identifiers in brackets, lists, JSON, HTML and URLs, and secrets without a digit, are found and masked."""
+    texts = {
+        "password = correcthorse": "password = [SECRET]", "(bob@x.org)": "([EMAIL])", "a@x.org,b@y.org": "[EMAIL],[EMAIL]", "10.0.0.1,10.0.0.2": "[IP],[IP]",
+        '{"email":"a@x.org"}': '{"email":"[EMAIL]"}', "<td>a@x.org</td>": "<td>[EMAIL]</td>", "see http://10.0.0.1:8080/ now": "see http://[IP]:8080/ now",
+        '{"password":"correcthorse","n":1}': '{"password":"[SECRET]","n":1}', '{"phone":"+1 555 010 9999"}': '{"phone":"[PHONE]"}', '{"card":"4111111111111111"}': '{"card":"[CARD]"}',
+        "version 1.2.3.4.5 of a@b": "version 1.2.3.4.5 of a@b", "no secret here, my tokens are words": "no secret here, my tokens are words",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.mask(docs, pii.find_identifiers(docs)).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_pii_discovers_unseen(spark):
     """Addresses that no rule knows stand where seeds stand and look like them."""
     rows = [(i, f"reach me at contact user{i}@example.org today") for i in range(30)] + [(100 + i, f"reach me at contact user2{i}@example.o2g today") for i in range(3)]
