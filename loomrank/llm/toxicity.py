@@ -6,6 +6,9 @@ dictionary, and with the toxic dictionary put before the same ordinary one; the
 window's margin.  Because both sides share the ordinary content, ordinary text has a margin of about nought whatever
 its language.
 
+The toxic side is a list of words, not a dictionary that zstandard trains on the toxic texts: it replaces the dealt
+method, which finds less on held-out labels (figures in the README).
+
 Windows of 96 bytes at steps of 80 cover each whole text.  Those with a margin are compressed again as windows of 64
 bytes at steps of 32 with a closer parser, which settles the margin.  A document's score is the sum of its three
 largest window margins; it is toxic from a threshold on, which held-out labelled documents set: where at most ``FALSE_RATE`` of
