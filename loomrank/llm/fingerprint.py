@@ -140,6 +140,20 @@ def _compare(most: int):
     return run
 
 
+def _compare_kept(most: int):
+    """As ``_compare``, with the digests."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                get = lambda side: {c: batch.column(f"{side}_{c}").to_numpy(zero_copy_only=False) for c in _COLUMNS}
+                d = difference(get("a"), get("b"))
+                columns = [batch.column("doc_a"), batch.column("doc_b"), pa.array(d.astype(np.int32)), batch.column("a_digest"), batch.column("b_digest")]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_a", "doc_b", "difference", "digest_a", "digest_b"]).filter(pa.array(d <= most))
+
+    return run
+
+
 def like_pairs(docs: DataFrame, most: int = MOST) -> DataFrame:
     """(doc_a < doc_b, difference) within and between groups of equal digests; see the module's text."""
     if not 0 <= most < 64:
@@ -164,11 +178,28 @@ def like_pairs(docs: DataFrame, most: int = MOST) -> DataFrame:
     return equal.union(cross).groupBy("doc_a", "doc_b").agg(F.min("difference").alias("difference"))
 
 
+def with_digests(pairs: DataFrame, docs: DataFrame, most: int = MOST) -> DataFrame:
+    """``pairs`` with digest_a and digest_b, of rows that share an id those that differ least."""
+    own = digests(docs).filter("doc_id is not null and digest is not null").select("doc_id", *_COLUMNS).distinct()
+    side = lambda t: own.select(F.col("doc_id").alias(f"doc_{t}"), *(F.col(c).alias(f"{t}_{c}") for c in _COLUMNS))
+    both = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b")
+    names = [f"{t}_{c}" for t in "ab" for c in _COLUMNS]
+    seen = both.select("doc_a", "doc_b", *names).mapInArrow(_compare_kept(most), "doc_a bigint, doc_b bigint, difference int, digest_a string, digest_b string")
+    best = seen.groupBy("doc_a", "doc_b").agg(F.min(F.struct("difference", "digest_a", "digest_b")).alias("best"))
+    return best.select("doc_a", "doc_b", "best.difference", "best.digest_a", "best.digest_b")
+
+
 def op2_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents."""
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op2_like_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of like digests over all documents, with both digests."""
+    docs = table(spark, sf_dir, "documents")
+    return with_digests(like_pairs(docs), docs)
+
+
 def _sql() -> str:
     triplets = ", ".join(f"((b{x} * {_A} + b{y} * {_B} + b{z} * {_C} + {k * _K}) * {_MUL} >> 24) & 127" for k, (x, y, z) in enumerate(_TRIPLETS))
     edges, edge = [1], 1

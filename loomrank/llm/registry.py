@@ -7,6 +7,7 @@ from . import chat, fingerprint, jaccard_join, licences, packing, pii, quality,
 QUERIES = {
     "op1_lexical_packing": packing.op1_lexical_packing,
     "op2_quartile_digest": fingerprint.op2_quartile_digest,
+    "op2_like_pairs": fingerprint.op2_like_pairs,
     "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
     "op5_bpe_encode": tokens.op5_bpe_encode,

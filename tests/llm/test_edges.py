@@ -274,6 +274,23 @@ def test_like_pairs_equal_brute_force(spark):
     assert any(v > 0 for v in want.values())
 
 
+def test_like_pairs_query_covers_the_table(spark, data):
+    """The registered query gives every pair of the table that brute force does, with the digests."""
+    from loomrank.llm import registry
+
+    own = {x.doc_id: x for x in registry.QUERIES["op2_quartile_digest"](spark, data).collect() if x.digest}
+    same = {}
+    for i, x in own.items():
+        same.setdefault(tuple(x[c] for c in fingerprint._COLUMNS), []).append(i)
+    least = sorted(min(g) for g in same.values())
+    want = {(min(g), i): 0 for g in same.values() for i in g if i != min(g)}
+    a, b = map(list, zip(*itertools.combinations(least, 2)))
+    sides = [{c: np.array([own[i][c] for i in s]) for c in fingerprint._COLUMNS} for s in (a, b)]
+    want |= {(i, j): int(d) for i, j, d in zip(a, b, fingerprint.difference(*sides)) if d <= fingerprint.MOST}
+    got = {(x.doc_a, x.doc_b): (x.difference, x.digest_a, x.digest_b) for x in registry.QUERIES["op2_like_pairs"](spark, data).collect()}
+    assert got == {(i, j): (d, own[i].digest, own[j].digest) for (i, j), d in want.items()} and want
+
+
 # Classifiers ----------------------------------------------------------------------------------------------------------
 
 
