@@ -1,4 +1,4 @@
-"""Folders that outlive an executor, and column checks."""
+"""Folders that outlive an executor, id filters of a fixed size, and column checks."""
 
 from __future__ import annotations
 
@@ -7,9 +7,14 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FEW = 1 << 20
+_WORDS, _HASHES = 1 << 20, 3
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where it is unset, as in local tests, a temporary folder."""
@@ -27,7 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: its lineage is cut and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -43,3 +57,57 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def every(docs: DataFrame) -> list:
+    """All columns of ``docs``, whatever marks their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer by marks until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small(side: DataFrame) -> DataFrame:
+    """``side``, to be broadcast if it has at most ``FEW`` rows, which must be short ones; else joined by a shuffle."""
+    return F.broadcast(side) if side.count() <= FEW else side
+
+
+def places(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each id for hash number k."""
+    from ._text import mix
+
+    h = mix(ids.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+    return (h >> np.uint64(8)) & np.uint64(_WORDS - 1), np.uint64(1) << (h & np.uint64(63))
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A broadcast Bloom filter of 8 MB, whatever the number of ids: ``passes`` is true for all of them and for few others.
+
+    With very many ids it lets more and more others pass, so what it lets through is joined with the ids again.
+    """
+
+    def bits(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for k in range(_HASHES):
+                word, bit = places(own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bit.view(np.int64))], ["word", "bits"])
+
+    got = ids.select(column).mapInArrow(bits, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(_WORDS, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def passes(only, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter may hold."""
+    ok = np.ones(len(ids), bool)
+    for k in range(_HASHES):
+        word, bit = places(ids, k)
+        ok &= (only.value[word.astype(np.int64)] & bit) != 0
+    return ok

@@ -15,6 +15,7 @@ QUERIES = {
     "op7_licence_scan": licences.op7_licence_scan,
     "op8_reply_trees": chat.op8_reply_trees,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op9_jaccard_links": jaccard_join.op9_jaccard_links,
     "op10_token_counts": tokens.op10_token_counts,
 }
 ORACLE_SQL = {**fingerprint.SQL, **licences.SQL, **chat.SQL, **jaccard_join.SQL}
