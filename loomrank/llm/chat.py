@@ -1,10 +1,11 @@
 """Chat formatting from reply trees.
 
-Messages form trees by their parents.  Paths from root to leaf are enumerated by repeated self-joins: a frontier of
-partial paths is joined with the messages that answer its last ones until none does.  A branch scores the mean score of
-its messages; branches of a tree are ranked by score, then length (longer first), then the ids along the path.  Each of
-the first ``branches`` of a tree is formatted as one conversation, ``<|im_start|>role`` line, text, ``<|im_end|>`` line
-for each message.
+Messages form trees by their parents.  Paths are enumerated by repeated self-joins that double: after k joins each message
+knows its ancestor 2**k steps up, and the sum of the scores and the number of the messages up to there, so a path of
+depth d takes about log2(d) joins, which move ids and sums but no text.  A branch, from a root to a leaf, scores the mean score of its
+messages; branches of a tree are ranked by score, then length (longer first), then the ids along the path.  Only of the
+first ``branches`` of a tree (and those level with the last of them, until the ids decide) are the paths spelled out, by
+the same joins backwards, and each is formatted as one conversation, ``<|im_start|>role`` line, text, ``<|im_end|>`` line for each message.
 
 A table of plain turns has no parents: there a message answers the latest earlier turn of its conversation that another
 role wrote (a system turn, having no such turn, is a root, and the first other turn answers it).  So turns in a row by
@@ -12,8 +13,9 @@ one role, such as answers generated again, are branches, and rows that share a t
 
 Nulls: a null text counts as empty, a null role as 'user', a null score as 0.  Messages with a null tree or message id
 are left out.  A parent that isn't there, or is the message itself, makes the message a root; messages on a cycle hang
-from no root and are left out.  Repeated rows count once; of rows that share a message id and differ, the least (by
-role, text, score) counts.  An empty table gives an empty result; other columns are not read.
+from no root and are left out, with all that answers them.  Repeated rows count once; of rows that share a message id
+and differ, the least (by role, text, score) counts.  Texts of any length are formatted whole.  An empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,17 +23,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import discard, table, written
 
 BRANCHES = 1
-CUT_EVERY = 8
+TURNS = 1024
 
 
 def reply_parents(turns: DataFrame) -> DataFrame:
     """(tree, message, parent, role, text, score) of plain turns (conv_id, turn, role, text); see the module's text.
 
-    A message is told by its turn and its place among the rows of that turn; its score is the length of its text, of
-    at most 2,000 characters, in thousands.
+    A message is told by its turn and its place among the rows of that turn; its score is the length of its text in
+    thousands of characters.
     """
     t = turns.select(
         F.col("conv_id").cast("bigint").alias("tree"),
@@ -42,15 +44,42 @@ def reply_parents(turns: DataFrame) -> DataFrame:
     in_turn = Window.partitionBy("tree", "turn").orderBy("role", "text")
     t = t.withColumn("k", F.row_number().over(in_turn))
     t = t.withColumn("message", F.concat_ws(".", F.lpad(F.col("turn").cast("string"), 20, "0"), F.lpad(F.col("k").cast("string"), 9, "0")))
-    # the latest earlier message of each other role in the conversation, then the latest of these
-    roles = t.select("tree", F.col("role").alias("other")).distinct()
-    probes = t.join(roles, "tree").filter("other <> role").select("tree", "other", "turn", F.col("message").alias("of"), F.lit(None).cast("struct<turn:bigint,k:int,message:string>").alias("m"))
-    said = t.select("tree", F.col("role").alias("other"), "turn", F.lit(None).cast("string").alias("of"), F.struct("turn", F.negate("k").alias("k"), "message").alias("m"))
-    before = Window.partitionBy("tree", "other").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    seen = said.unionByName(probes).withColumn("m", F.max("m").over(before)).filter("of is not null")
-    answered = seen.groupBy("tree", F.col("of").alias("message")).agg(F.max("m").alias("answered"))
+    t = written(t, "reply-turns")
+    # the latest earlier message of each other role in the conversation, then the latest of these; long conversations
+    # go by blocks of turns, each of which gets the latest message of the blocks before it
+    said = t.select("tree", F.col("role").alias("other"), F.floor(F.col("turn") / TURNS).alias("block"), "turn", F.struct("turn", F.negate("k").alias("k"), "message").alias("m"))
+    roles = said.select("tree", "other").distinct()
+    kind = "struct<turn:bigint,k:int,message:string>"
+    probes = t.select("tree", "role", F.floor(F.col("turn") / TURNS).alias("block"), "turn", "message").join(roles, "tree").filter("other <> role")
+    blocks = said.groupBy("tree", "other", "block").agg(F.max("m").alias("last")).unionByName(
+        probes.select("tree", "other", "block", F.lit(None).cast(kind).alias("last"))
+    ).groupBy("tree", "other", "block").agg(F.max("last").alias("last"))
+    earlier = Window.partitionBy("tree", "other").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("carried", F.max("last").over(earlier)).drop("last")
+    both = said.withColumn("of", F.lit(None).cast("string")).unionByName(probes.select("tree", "other", "block", "turn", F.lit(None).cast(kind).alias("m"), F.col("message").alias("of")))
+    before = Window.partitionBy("tree", "other", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("m", F.max("m").over(before)).filter("of is not null").join(blocks, ["tree", "other", "block"])
+    answered = seen.groupBy("tree", F.col("of").alias("message")).agg(F.max(F.coalesce("m", "carried")).alias("answered"))
     t = t.join(answered, ["tree", "message"], "left")
-    return t.select("tree", "message", F.col("answered.message").alias("parent"), "role", "text", (F.least(F.length("text"), F.lit(2000)) / F.lit(1000.0)).alias("score"))
+    return t.select("tree", "message", F.col("answered.message").alias("parent"), "role", "text", (F.length("text") / F.lit(1000.0)).alias("score"))
+
+
+def ancestors(links: DataFrame) -> list[DataFrame]:
+    """Tables k = 0, 1, ... of (tree, message, up, sum, n): ``up`` is the ancestor 2**k steps up, null from the root on.
+
+    ``sum`` and ``n`` are the scores and the number of the messages from this one up to, and without, ``up``.
+    """
+    out, before = [], None
+    up = links.select("tree", "message", F.col("parent").alias("up"), F.col("score").alias("sum"), F.lit(1).alias("n"))
+    while True:
+        up = written(up, "reply-jumps")
+        out.append(up)
+        left = up.filter("up is not null").count()
+        if left in (0, before):  # as many as before: all that is left hangs from cycles
+            return out
+        before = left
+        above = up.select("tree", F.col("message").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"), F.col("n").alias("add"))
+        up = up.join(above, ["tree", "up"], "left").select("tree", "message", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("add", F.lit(0))).alias("n"))
 
 
 def reply_paths(messages: DataFrame, branches: int | None = BRANCHES) -> DataFrame:
@@ -65,38 +94,37 @@ def reply_paths(messages: DataFrame, branches: int | None = BRANCHES) -> DataFra
     ).filter("tree is not null and message is not null")
     m = m.groupBy("tree", "message").agg(F.min(F.struct("role", "text", "score", "parent")).alias("m")).select("tree", "message", "m.*")
     m = written(m, "reply-messages")
-    ids = m.select("tree", F.col("message").alias("parent"), F.lit(True).alias("there")).distinct()
-    m = m.join(ids, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("there") & (F.col("parent") != F.col("message")), F.col("parent")))
-    part = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>\n"))
-    m = written(m.select("tree", "message", "parent", "score", part.alias("part")), "reply-links")
-    answers = m.filter("parent is not null").select("tree", F.col("parent").alias("leaf"), F.col("message").alias("next"), F.col("score").alias("add"), F.col("part").alias("more"))
-    frontier = m.filter("parent is null").select("tree", F.col("message").alias("leaf"), F.array("message").alias("path"), F.array("score").alias("scores"), F.array("part").alias("parts"))
-    answered = answers.select("tree", "leaf").distinct()
-    done, depth = [], 0
-    while True:
-        frontier = written(frontier, "reply-frontier")
-        if frontier.isEmpty():
-            break
-        done.append(frontier.join(answered, ["tree", "leaf"], "left_anti"))
-        frontier = frontier.join(answers, ["tree", "leaf"]).select(
-            "tree", F.col("next").alias("leaf"), F.concat("path", F.array("next")).alias("path"), F.concat("scores", F.array("add")).alias("scores"), F.concat("parts", F.array("more")).alias("parts")
-        )
-        depth += 1
-        if depth % CUT_EVERY == 0:
-            whole = done[0]
-            for d in done[1:]:
-                whole = whole.unionByName(d)
-            done = [written(whole, "reply-paths")]
-    whole = done[0] if done else frontier
-    for d in done[1:]:
-        whole = whole.unionByName(d)
-    mean = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores"), 9)
-    whole = whole.withColumns({"score": mean, "n_messages": F.size("path")})
-    rank = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_messages"), "path")
-    whole = whole.withColumn("branch", F.row_number().over(rank))
+    there = m.select("tree", F.col("message").alias("parent"), F.lit(True).alias("there"))
+    links = m.select("tree", "message", "parent", "score").join(there, ["tree", "parent"], "left")
+    links = written(links.select("tree", "message", "score", F.when(F.col("there") & (F.col("parent") != F.col("message")), F.col("parent")).alias("parent")), "reply-links")
+    jumps = ancestors(links)
+
+    answered = links.filter("parent is not null").select("tree", F.col("parent").alias("leaf")).distinct()
+    leaves = jumps[-1].filter("up is null").select("tree", F.col("message").alias("leaf"), F.round(F.col("sum") / F.col("n"), 9).alias("score"), F.col("n").alias("n_messages"))
+    leaves = leaves.join(answered, ["tree", "leaf"], "left_anti")
+    by_score = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_messages"))
+    if branches is not None:
+        leaves = leaves.withColumn("level", F.rank().over(by_score)).filter(F.col("level") <= branches).drop("level")
+    leaves = written(leaves, "reply-leaves")
+    steps = written(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("up")), "reply-steps")
+    for k in range(len(jumps) - 1, -1, -1):
+        jump = jumps[k].filter("up is not null").select("tree", F.col("message").alias("node"), F.col("up").alias("next"))
+        more = steps.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        last, steps = steps, written(steps.unionByName(more), "reply-steps")
+        discard(last)
+    discard(links, *jumps)
+
+    in_order = lambda what: F.sort_array(F.collect_list(F.struct(F.negate("up").alias("at"), what)))
+    paths = steps.groupBy("tree", "leaf").agg(in_order("node").alias("nodes"))
+    rank = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_messages"), "nodes.node")
+    chosen = leaves.join(paths, ["tree", "leaf"]).withColumn("branch", F.row_number().over(rank))
     if branches is not None:
-        whole = whole.filter(F.col("branch") <= branches)
-    return whole.select("tree", "branch", "leaf", F.concat_ws(">", "path").alias("path"), "score", "n_messages", F.array_join("parts", "").alias("conversation"))
+        chosen = chosen.filter(F.col("branch") <= branches)
+    chosen = written(chosen.select("tree", "branch", "leaf", F.concat_ws(">", "nodes.node").alias("path"), "score", "n_messages"), "reply-chosen")
+    part = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")).alias("part")
+    said = steps.join(chosen.select("tree", "leaf"), ["tree", "leaf"], "left_semi").join(m.select("tree", F.col("message").alias("node"), part), ["tree", "node"])
+    said = said.groupBy("tree", "leaf").agg(F.array_join(in_order("part")["part"], "").alias("conversation"))
+    return chosen.join(said, ["tree", "leaf"]).select("tree", "branch", "leaf", "path", "score", "n_messages", "conversation")
 
 
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +137,7 @@ WITH RECURSIVE u AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS ro
       WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k FROM u),
 m AS (SELECT *, lpad(CAST(turn AS VARCHAR), 20, '0') || '.' || lpad(CAST(k AS VARCHAR), 9, '0') AS message FROM k),
-p AS (SELECT m.conv_id, m.message, m.role, m.text, least(length(m.text), 2000) / 1000.0::DOUBLE AS score,
+p AS (SELECT m.conv_id, m.message, m.role, m.text, length(m.text) / 1000.0::DOUBLE AS score,
       (SELECT b.message FROM m b WHERE b.conv_id = m.conv_id AND b.turn < m.turn AND b.role <> m.role ORDER BY b.turn DESC, b.k LIMIT 1) AS parent FROM m),
 t AS (SELECT conv_id, message AS leaf, message AS path, score AS total, 1 AS n_messages, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS conversation
       FROM p WHERE parent IS NULL
