@@ -1,22 +1,26 @@
 """Lexical retrieval packing: training windows of documents that BM25 finds alike.
 
-Shards.  A document's key is the least hash among its words of ``LONG`` letters or more (of all words if it has none), so
-copies and documents with passages in common tend to meet.  Keys are spread over buckets, each sorted by key and id and
-cut into shards of about ``shard_bytes`` of text (and 16 bytes a document, so that a shard has fewer than 2**20); their
-number grows with the corpus, their size doesn't.  Words are told apart by 44 bits of their hash.  Document frequencies and the mean length are counted over the whole corpus; each shard has an inverted index of its own
-documents, and its windows are filled from it.
-
-Packing.  A shard's documents are taken in order (key, id, text hash).  A document longer than ``window`` words is cut:
-full pieces are windows of their own, its last piece is packed.  The first unused document is a seed; all unused ones
-are scored by BM25 with the seed's distinct words as the query, over their whole texts, and those with a positive score
-are added in order of score (ties: order in the shard) as long as they fit.  Search within a shard is exact: every
-unused document is scored, none is capped.
-
-A window is a row: shard, window, seed, ids, character range and words of each piece, BM25 score of each, words in all.
-Each document with words lies in the windows exactly once, whole.
-
-Nulls: a null, empty or wordless text is in no window.  A null id is kept and sorts first; repeated rows are packed
-each by itself (as each other's nearest neighbours).  An empty table gives an empty result; other columns are not read.
+Pieces.  A document longer than ``window`` words is cut: full pieces are windows of their own, its last piece is packed.  Last
+pieces are what is indexed, searched and packed; a document that ends with a full piece has none.
+
+Search.  The seeds are the pieces of all documents whose id is divisible by ``SEED_EVERY``.  A seed's query is its
+distinct words, and its neighbours are the ``NEIGHBOURS`` pieces of the whole corpus, seeds apart, with the best positive
+BM25 score (ties: the earlier row).  Document frequencies, the number of pieces and their mean length are counted over the
+whole corpus.  The search is exact: pieces are dealt to shards, each shard scores all its pieces for all seeds and gives
+its best, and these are merged.  Seeds come in blocks of about ``SEEDS``, so what is broadcast is bounded.  In a shard
+words that are common on both sides are one matrix product, the others go through the inverted lists of the seeds.
+
+Filling.  In turns each unused piece goes to the seed that scores it best, of those it still fits (ties: the earlier
+seed), and each seed takes what it gets in order of score as long as it fits, until no seed can take any more.  What no
+seed took is packed in the order of a lexical key, the least hash among a piece's words of ``LONG`` letters or more (of all if it
+has none), so that copies and documents with passages in common tend to meet: each into the first of ``OPEN`` windows that it fits.
+
+A window is a row: kind ('whole', 'retrieved' or 'rest'), seed (its first document), ids, character range and words of
+each piece, BM25 score of each (0 for the seed, and outside 'retrieved'), words in all.  Each document with words lies in the
+windows exactly once, whole.
+
+Nulls: a null, empty or wordless text is in no window.  A null id is packed and is no seed; repeated rows are packed each
+by itself.  Very long texts are cut as said.  An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,214 +29,329 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import documents, small_batches, table
+from ._shared import discard, documents, small_batches, table, written
 from ._text import Words, blocks, mix, release
 
-WINDOW, SHARD_BYTES, LONG = 2048, 16 << 20, 8
+WINDOW, LONG, SEED_EVERY, NEIGHBOURS, SEEDS, OPEN = 2048, 8, 20, 32, 8192, 32
 K1, B = 1.2, 0.75
-SCHEMA = "shard bigint, window int, seed bigint, doc_ids array<bigint>, starts array<int>, ends array<int>, words array<int>, scores array<double>, n_words int"
-
-
-DOC_BITS = np.uint64(20)
-_DOC = np.uint64((1 << 20) - 1)
-
-
-class Shard:
-    """Postings of a shard's documents, sorted by term and document: ``doc``, ``term`` (index into ``terms``), ``tf``."""
-
-    def __init__(self, texts):
-        keys, lengths, at = [], [], 0
-        for part in blocks([pa.record_batch([texts], ["text"])]):
-            w = Words(part.column("text"))
-            size = np.diff(w.first)
-            keys.append((w.hash & ~_DOC) | np.repeat(np.arange(at, at + len(size), dtype=np.uint64), size))
-            lengths.append(size)
-            at += len(size)
-        self.length = np.concatenate([*lengths, np.zeros(0, np.int64)])
-        key = np.concatenate([*keys, np.zeros(0, np.uint64)])
-        del keys
-        key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.tf = np.diff(first, append=len(key)).astype(np.int32)
-        key = key[first]
-        self.doc = (key & _DOC).astype(np.int32)
-        key >>= DOC_BITS
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        self.terms = key[new]
-        self.term = (np.cumsum(new) - 1).astype(np.int32)
-        self.df = np.bincount(self.term, minlength=len(self.terms))
-
-
-def pack(length: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float, window: int):
-    """Yields windows as lists of (document, first word, end word, score); postings are sorted by term and document."""
-    n = len(length)
-    for d in range(n):
-        for a in range(0, length[d] - window + 1, window):
-            yield [(d, a, a + window, 0.0)]
-    tail = length % window
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-    by_doc = np.argsort(doc, kind="stable")
-    terms_of, own = term[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1))
-    del by_doc
-    edges = np.arange(len(idf) + 1)
-    post = np.searchsorted(term, edges)
-    unused = tail > 0
-    left = held = int(unused.sum())
-    for seed in np.flatnonzero(unused):
-        if not unused[seed]:
-            continue
-        unused[seed] = False
-        left -= 1
-        out, room = [(seed, length[seed] - tail[seed], length[seed], 0.0)], window - tail[seed]
-        fits = np.flatnonzero(unused & (tail <= room))
-        if len(fits):
-            if left < 0.7 * held:  # postings of used documents leave the index
-                keep = unused[doc]
-                doc, term, weight, held = doc[keep], term[keep], weight[keep], left
-                post = np.searchsorted(term, edges)
-            t = terms_of[own[seed] : own[seed + 1]]
-            lists = [slice(a, b) for a, b in zip(post[t].tolist(), post[t + 1].tolist()) if a < b]
-            score = np.zeros(len(fits))
-            if lists:
-                score = np.bincount(np.concatenate([doc[s] for s in lists]), np.concatenate([weight[s] for s in lists]), minlength=n)[fits]
-            score = np.round(score, 6)
-            order = np.argsort(-score, kind="stable")
-            order = order[score[order] > 0]
-            size = tail[fits[order]]
-            k = 0
-            while k < len(order):
-                d = fits[order[k]]
-                if size[k] <= room:
-                    out.append((d, length[d] - tail[d], length[d], float(score[order[k]])))
-                    unused[d] = False
-                    left -= 1
-                    room -= size[k]
-                    if room == 0:
-                        break
-                    k += 1
-                else:  # on to the next that fits
-                    step = np.flatnonzero(size[k:] <= room)
-                    if not len(step):
-                        break
-                    k += int(step[0])
-        yield out
-
-
-def _shards(batches):
-    """Tables of one shard each, in order, from batches sorted by shard."""
-    kept, at = [], None
+DENSE, TOGETHER = 0.002, 64
+PIECES = "uid bigint, doc_id bigint, seed boolean, key bigint, n_words int, tail int, cuts array<int>, terms binary"
+WINDOWS = "kind string, seed bigint, doc_ids array<bigint>, starts array<int>, ends array<int>, words array<int>, scores array<double>, n_words int"
+_TF = np.uint64(2047)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The whole numbers first[i] ... first[i] + size[i] - 1 of all i."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+
+def _cut(window: int, every: int, long: int):
+    """A row for each document with words.  ``terms``: of each distinct word of the last piece 53 bits of hash and 11 of count."""
+
+    def run(batches):
+        uid = TaskContext.get().partitionId() << 33
+        for batch in blocks(batches, most=1 << 20):
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                w = Words(part.column("text"))
+                size = np.diff(w.first)
+                n = len(size)
+                tail = size % window
+                at = _ranges(w.first[1:] - tail, tail)
+                of = np.repeat(np.arange(n, dtype=np.uint64), tail)
+                key = np.sort((of << np.uint64(53)) | (w.hash[at] >> np.uint64(11)))
+                new = np.flatnonzero(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]]))
+                tf = np.minimum(np.diff(new, append=len(key)), 2047).astype(np.uint64)
+                key = key[new]
+                edge = np.searchsorted(key >> np.uint64(53), np.arange(n + 1, dtype=np.uint64))
+                terms = (key << np.uint64(11)) | tf
+                low = np.zeros(n, np.uint64)
+                some = np.flatnonzero(tail)
+                if len(some):
+                    h = mix(w.hash[at] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(2)
+                    h |= ((w.end[at] - w.start[at]) < long).astype(np.uint64) << np.uint64(62)  # long words first
+                    low[some] = np.minimum.reduceat(h, np.concatenate([[0], np.cumsum(tail[some])[:-1]]))
+                chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+                begin = chars[w.offsets]
+                cuts = []
+                for i in range(n):
+                    inner = w.start[w.first[i] + np.arange(window, size[i], window)] if size[i] > window else np.zeros(0, np.int64)
+                    cuts.append(np.concatenate([[0], chars[inner] - begin[i], [begin[i + 1] - begin[i]]]).astype(np.int32))
+                ids = part.column("doc_id")
+                seed = (ids.fill_null(1).to_numpy() % every == 0) & (tail > 0)
+                data = terms.tobytes()
+                columns = [
+                    pa.array(uid + np.arange(n)), ids, pa.array(seed), pa.array(low.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(tail.astype(np.int32)),
+                    pa.array(cuts, pa.list_(pa.int32())), pa.array([data[8 * a : 8 * b] for a, b in zip(edge, edge[1:])], pa.binary()),
+                ]
+                uid += n
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "seed", "key", "n_words", "tail", "cuts", "terms"]).filter(pa.array(size > 0))
+
+    return run
+
+
+def _terms(column) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all rows, and how many each has."""
+    size = np.array([len(x.as_buffer()) // 8 for x in column], np.int64)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint64), size
+
+
+def _counted(batches):
+    """(term, n): in how many pieces of the split a word stands."""
+    held, total = [], 0
+
+    def flush():
+        terms, n = np.unique(np.concatenate(held), return_counts=True)
+        for a in range(0, len(terms), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(terms[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], ["term", "n"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        shard = batch.column("shard").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if kept and shard[a] != at:
-                yield at, pa.Table.from_batches(kept)
-                kept = []
-            kept.append(batch.slice(a, b - a))
-            at = shard[a]
-    if kept:
-        yield at, pa.Table.from_batches(kept)
-
-
-def _statistics(batches):
-    """Rows (kind, term, shard, n): 0 for each word of a shard and its documents, 1 for the documents, 2 for all words."""
-
-    def rows(kind, term, at, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(term), pa.array(np.full(len(n), at)), pa.array(n.astype(np.int64))], ["kind", "term", "shard", "n"])
-
-    for at, docs in _shards(batches):
-        s = Shard(docs.column("text").combine_chunks())
-        for a in range(0, len(s.terms), 50000):
-            yield rows(0, s.terms[a : a + 50000].view(np.int64), at, s.df[a : a + 50000])
-        yield rows(1, np.zeros(1, np.int64), at, np.array([len(s.length)]))
-        yield rows(2, np.zeros(1, np.int64), at, np.array([s.length.sum()]))
+        if batch.num_rows:
+            held.append(_terms(batch.column("terms"))[0] >> np.uint64(11))
+            total += len(held[-1])
+            if total >= 1 << 22:
+                yield from flush()
+                held, total = [], 0
+    if held:
+        yield from flush()
     release()
 
 
-def _pack(window: int):
-    def run(left, right):
-        texts = left.column("text").combine_chunks()
-        s = Shard(texts)
-        df = s.df.copy()
-        kind, term, n = (right.column(c).to_numpy() for c in ("kind", "term", "n"))
-        df[np.searchsorted(s.terms, term[kind == 0].view(np.uint64))] = n[kind == 0]
-        n_docs = int(n[kind == 1][0])
-        mean = int(n[kind == 2][0]) / n_docs
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        ids = left.column("doc_id").to_pylist()
-        starts: dict[int, Words] = {}
-
-        def edge(d: int, k: int) -> int:
-            """Character at which word k of document d begins; the text's edges at its first and last."""
-            if k in (0, s.length[d]):
-                return 0 if k == 0 else len(texts[int(d)].as_py())
-            if d not in starts:
-                starts.clear()
-                starts[d] = Words(texts.slice(int(d), 1))
-            return int(((starts[d].data[: starts[d].start[k]] & 0xC0) != 0x80).sum())
-
-        shard = left.column("shard")[0].as_py()
-        rows = []
-        for k, pieces in enumerate(pack(s.length, s.doc, s.term, s.tf, idf, mean, window)):
-            d, a, b, score = zip(*pieces)
-            own = [int(y - x) for x, y in zip(a, b)]
-            rows.append((shard, k, ids[d[0]], [ids[x] for x in d], [edge(x, y) for x, y in zip(d, a)], [edge(x, y) for x, y in zip(d, b)], own, list(score), sum(own)))
-        release()
-        columns = list(zip(*rows)) or [()] * 9
-        i32, i64 = pa.int32(), pa.int64()
-        kinds = [i64, i32, i64, pa.list_(i64), pa.list_(i32), pa.list_(i32), pa.list_(i32), pa.list_(pa.float64()), i32]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "window", "seed", "doc_ids", "starts", "ends", "words", "scores", "n_words"])
+def _exploded(batches):
+    for batch in batches:
+        if batch.num_rows:
+            terms, size = _terms(batch.column("terms"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("uid").to_numpy(), size)), pa.array((terms >> np.uint64(11)).view(np.int64))], ["uid", "term"])
 
-    return run
 
+class Queries:
+    """A block of seeds: ``uid``, and by word ``terms``, its weight ``idf``, the seeds ``seed[at[v]:at[v + 1]]`` that have it, and its column if ``dense``."""
+
+    def __init__(self, uid: np.ndarray, term: np.ndarray, df: np.ndarray, n: int):
+        self.uid, own = np.unique(uid, return_inverse=True)
+        order = np.lexsort((own, term))
+        own, term, df = own[order], term[order], df[order]
+        new = np.flatnonzero(np.concatenate([term[:1] == term[:1], term[1:] != term[:-1]]))
+        self.terms, self.seed, self.at = term[new], own.astype(np.int32), np.append(new, len(term))
+        df = df[new]
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.dense = (np.diff(self.at) / max(1, len(self.uid))) * (df / n) > DENSE
+
+
+def _search(queries, mean: float, most: int):
+    """The best pieces of a shard for each seed: (seed, uid, score, tail)."""
 
-def _keys(long: int):
     def run(batches):
-        for batch in blocks(batches):
-            w = Words(batch.column("text"))
-            n = len(w.first) - 1
-            size = np.diff(w.first)
-            h = w.hash ^ np.uint64(0x5851F42D4C957F2D)
-            h = mix(h) >> np.uint64(2)
-            short = (w.end - w.start) < long
-            h = h | (short.astype(np.uint64) << np.uint64(62))  # long words first
-            key = np.full(n, 0, np.uint64)
-            some = np.flatnonzero(size)
-            if len(some):
-                key[some] = np.minimum.reduceat(h, w.first[some])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key.view(np.int64)), pa.array(size.astype(np.int64))], ["doc_id", "text", "key", "n_words"]).filter(pa.array(size > 0))
+        q: Queries = queries.value
+        s = len(q.uid)
+        slot = np.where(q.dense, np.cumsum(q.dense) - 1, -1)
+        matrix = np.zeros((s, int(q.dense.sum())), np.float32)
+        for v in np.flatnonzero(q.dense):
+            matrix[q.seed[q.at[v] : q.at[v + 1]], slot[v]] = 1
+        least = np.full(s, 1e-6, np.float32)
+        held, n_held = [], 0
+
+        def best():
+            """The best of what is held; sets the scores that newcomers must reach."""
+            own, uid, score, tail = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((uid, -score, own))
+            own = own[order]
+            first = np.searchsorted(own, np.arange(s + 1))
+            keep = np.arange(len(own)) - first[own] < most
+            full = np.flatnonzero(np.diff(first) >= most)
+            least[full] = score[order[first[full] + most - 1]]
+            order = order[keep]
+            return own[keep], uid[order], score[order], tail[order]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            uids, tails = batch.column("uid").to_numpy(), batch.column("tail").to_numpy()
+            flat, size = _terms(batch.column("terms"))
+            term, tf = flat >> np.uint64(11), (flat & _TF).astype(np.float64)
+            v = np.minimum(np.searchsorted(q.terms, term), len(q.terms) - 1)
+            hit = np.flatnonzero(q.terms[v] == term)
+            doc, v, tf = np.repeat(np.arange(len(uids)), size)[hit], v[hit], tf[hit]
+            weight = q.idf[v] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tails[doc] / mean))
+            cut = np.searchsorted(doc, np.arange(0, len(uids) + TOGETHER, TOGETHER))
+            for k, (a, b) in enumerate(zip(cut, cut[1:])):
+                lo = k * TOGETHER
+                n = min(TOGETHER, len(uids) - lo)
+                if a == b or n <= 0:
+                    continue
+                d, u, x = doc[a:b] - lo, v[a:b], weight[a:b]
+                common = slot[u] >= 0
+                right = np.zeros((matrix.shape[1], n), np.float32)
+                right[slot[u[common]], d[common]] = x[common]
+                score = matrix @ right
+                d, u, x = d[~common], u[~common], x[~common]
+                size_u = q.at[u + 1] - q.at[u]
+                cell = q.seed[_ranges(q.at[u], size_u)] * n + np.repeat(d, size_u)
+                score += np.bincount(cell, np.repeat(x, size_u), minlength=s * n).reshape(s, n).astype(np.float32)
+                own, j = np.divmod(np.flatnonzero((score >= least[:, None]).ravel()), n)
+                held.append((own.astype(np.int32), uids[lo + j], score[own, j], tails[lo + j]))
+                n_held += len(own)
+                if n_held > 3 * s * most:
+                    held = [best()]
+                    n_held = len(held[0][0])
+        if held:
+            own, uid, score, tail = best()
+            for a in range(0, len(own), 1 << 16):
+                k = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(q.uid[own[k]]), pa.array(uid[k]), pa.array(np.round(score[k].astype(np.float64), 4)), pa.array(tail[k])], ["seed", "uid", "score", "tail"])
+        release()
 
     return run
 
 
-def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES, long: int = LONG) -> DataFrame:
-    """(doc_id, text, key, shard) of the documents with words, shards of a bucket in one partition."""
-    d = documents(docs).filter("text is not null")
-    total = d.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / (4 * shard_bytes)))
-    d = d.mapInArrow(_keys(long), "doc_id bigint, text string, key bigint, n_words bigint").drop("n_words")
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    order = Window.partitionBy("bucket").orderBy("key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("text").cast("bigint") + 16).over(order), F.lit(0))
-    return d.withColumn("shard", F.col("bucket") * F.lit(1 << 32) + (before / shard_bytes).cast("bigint"))
+def neighbours(pieces: DataFrame, most: int = NEIGHBOURS, seeds: int = SEEDS) -> DataFrame:
+    """(seed, uid, score, tail): the ``most`` best pieces of the whole corpus for each seed, by the rows' uid."""
+    spark = pieces.sparkSession
+    tails = pieces.filter("tail > 0")
+    n, total, n_seeds = tails.agg(F.count("*"), F.sum("tail"), F.count(F.when(F.col("seed"), 1))).first()
+    kind = "seed bigint, uid bigint, score double, tail int"
+    if not n_seeds:
+        return spark.createDataFrame([], kind)
+    df = written(tails.select("terms").mapInArrow(_counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1"), "pack-words")
+    asked = tails.filter("seed").select("uid", "terms")
+    n_blocks = math.ceil(n_seeds / seeds)
+    rest = tails.filter("not seed").select("uid", "tail", "terms").coalesce(2 * spark.sparkContext.defaultParallelism)
+    found = []
+    for k in range(n_blocks):
+        own = asked.filter(F.pmod(F.xxhash64("uid"), F.lit(n_blocks)) == k)
+        rows = own.mapInArrow(_exploded, "uid bigint, term bigint").join(df, "term").select("uid", "term", "n").toArrow()
+        if not rows.num_rows:
+            continue
+        uid, term, count = (rows.column(c).to_numpy() for c in ("uid", "term", "n"))
+        queries = spark.sparkContext.broadcast(Queries(uid, term.view(np.uint64), count, n))
+        del rows, uid, term, count
+        release()
+        found.append(written(rest.mapInArrow(_search(queries, total / n, most), kind), "pack-found"))
+        queries.destroy()
+    if not found:
+        return spark.createDataFrame([], kind)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    order = Window.partitionBy("seed").orderBy(F.desc("score"), "uid")
+    every = written(every.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place"), "pack-lists")
+    discard(df, *found)
+    return every
+
+
+def _fill(batches):
+    """Of rows (seed, uid, score, tail, room), sorted by seed and score, those that fit one after another."""
+    at, room = None, 0
+    for batch in batches:
+        keep = []
+        for seed, tail, free in zip(*(batch.column(c).to_pylist() for c in ("seed", "tail", "room"))):
+            if seed != at:
+                at, room = seed, free
+            keep.append(tail <= room)
+            room -= tail if tail <= room else 0
+        yield batch.select(["seed", "uid", "score", "tail"]).filter(pa.array(keep, pa.bool_()))
+
+
+def assigned(lists: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(seed, uid, score, tail) of the pieces that seeds take, from the lists and (seed, room); see the module's text."""
+    live, taken = lists.join(rooms, "seed").filter("tail <= room"), []
+    last = None
+    while True:
+        live = written(live, "pack-live")
+        if last is not None:
+            discard(last)
+        last = live
+        if live.isEmpty():
+            break
+        best = F.max(F.struct("score", F.negate("seed").alias("least"), "seed", "tail", "room")).alias("b")
+        won = live.groupBy("uid").agg(best).select("b.seed", "uid", "b.score", "b.tail", "b.room")
+        won = won.repartition("seed").sortWithinPartitions("seed", F.desc("score"), "uid")
+        taken.append(written(won.mapInArrow(_fill, "seed bigint, uid bigint, score double, tail int"), "pack-taken"))
+        used = taken[-1].groupBy("seed").agg(F.sum("tail").cast("int").alias("used"))
+        live = live.join(taken[-1].select("uid"), "uid", "left_anti").join(used, "seed", "left")
+        live = live.withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used").filter("tail <= room")
+    out = last.select("seed", "uid", "score", "tail")
+    for t in taken:
+        out = out.unionByName(t)
+    return out
+
+
+def _next(window: int):
+    """Windows from pieces (doc_id, tail, start, end) in order: each into the first open window that it fits."""
+
+    def run(batches):
+        open_: list[list] = []  # [words, pieces]
+
+        def rows(done):
+            columns = list(zip(*[("rest", p[0][0], *map(list, zip(*p)), [0.0] * len(p), n) for n, p in done]))
+            i32, i64 = pa.int32(), pa.int64()
+            kinds = [pa.string(), i64, pa.list_(i64), pa.list_(i32), pa.list_(i32), pa.list_(i32), pa.list_(pa.float64()), i32]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "seed", "doc_ids", "starts", "ends", "words", "scores", "n_words"])
+
+        for batch in batches:
+            done = []
+            for doc, start, end, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "end", "tail"))):
+                here = next((w for w in open_ if w[0] + tail <= window), None)
+                if here is None:
+                    here = [0, []]
+                    open_.append(here)
+                    if len(open_) > OPEN:
+                        full = max(range(len(open_) - 1), key=lambda k: open_[k][0])
+                        done.append(open_.pop(full))
+                here[0] += tail
+                here[1].append((doc, start, end, tail))
+                if here[0] == window:
+                    open_.remove(here)
+                    done.append(here)
+            if done:
+                yield rows(done)
+        if open_:
+            yield rows(open_)
+
+    return run
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, long: int = LONG) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, every: int = SEED_EVERY, most: int = NEIGHBOURS, seeds: int = SEEDS, long: int = LONG) -> DataFrame:
     """Windows of all documents; see the module's text."""
-    if window < 1 or shard_bytes < 1:
-        raise ValueError("window and shard_bytes must be positive")
+    if min(window, every, most, seeds) < 1:
+        raise ValueError("window, every, most and seeds must be positive")
     small_batches(docs.sparkSession)
-    d = sharded(docs, shard_bytes, long).select("bucket", "shard", "key", "doc_id", "text")
-    # both uses read the same exchange: a bucket's documents, sorted
-    counted = d.sortWithinPartitions("bucket", "shard").select("shard", "text").mapInArrow(_statistics, "kind byte, term bigint, shard bigint, n bigint")
-    whole = counted.withColumn("whole", F.sum("n").over(Window.partitionBy("kind", "term"))).filter("n > 1 or kind > 0")
-    whole = whole.select("shard", "kind", "term", F.col("whole").alias("n"))
-    return d.select("shard", "doc_id", "text", "key").groupBy("shard").cogroup(whole.groupBy("shard")).applyInArrow(_pack(window), SCHEMA)
+    pieces = written(documents(docs).filter("text is not null").mapInArrow(_cut(window, every, long), PIECES), "pack-pieces")
+
+    whole = pieces.filter(F.col("n_words") >= window).select("doc_id", "cuts", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_words") / window).cast("int") - 1)).alias("i"))
+    one = lambda c, t: F.array(c).cast(f"array<{t}>")
+    whole = whole.select(
+        F.lit("whole").alias("kind"), F.col("doc_id").alias("seed"), one(F.col("doc_id"), "bigint").alias("doc_ids"), one(F.get("cuts", "i"), "int").alias("starts"),
+        one(F.get("cuts", F.col("i") + 1), "int").alias("ends"), one(F.lit(window), "int").alias("words"), one(F.lit(0.0), "double").alias("scores"), F.lit(window).alias("n_words"),
+    )
+
+    tails = pieces.filter("tail > 0").select("uid", "doc_id", "seed", "key", "tail", F.element_at("cuts", -2).alias("start"), F.element_at("cuts", -1).alias("end"))
+    lists = neighbours(pieces, most, seeds)
+    rooms = tails.filter("seed").select(F.col("uid").alias("seed"), (F.lit(window) - F.col("tail")).alias("room"))
+    taken = written(assigned(lists, rooms), "pack-taken")
+
+    place = F.struct(F.negate("score").alias("worse"), "uid", "doc_id", "start", "end", "tail", "score")
+    first = tails.filter("seed").select(F.col("uid").alias("of"), place_of_seed().alias("p"))
+    others = taken.select("uid", F.col("seed").alias("of"), "score").join(tails.drop("seed"), "uid").select("of", place.alias("p"))
+    p = F.col("p")
+    found = first.unionByName(others).groupBy("of").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    found = found.select(
+        F.lit("retrieved").alias("kind"), F.get(p["doc_id"], F.lit(0)).alias("seed"), p["doc_id"].alias("doc_ids"), p["start"].alias("starts"), p["end"].alias("ends"), p["tail"].alias("words"),
+        p["score"].alias("scores"), F.aggregate(p["tail"], F.lit(0), lambda a, x: a + x).alias("n_words"),
+    )
+
+    rest = tails.filter("not seed").join(taken.select("uid"), "uid", "left_anti")
+    rest = rest.repartitionByRange("key", "uid").sortWithinPartitions("key", "uid").select("doc_id", "start", "end", "tail").mapInArrow(_next(window), WINDOWS)
+    return whole.unionByName(found).unionByName(rest)
+
+
+def place_of_seed():
+    """The seed's own place: before all others, as these have a positive score."""
+    return F.struct(F.lit(-math.inf).alias("worse"), "uid", "doc_id", "start", "end", "tail", F.lit(0.0).alias("score"))
 
 
 def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
