@@ -154,6 +154,7 @@ def _search(queries, mean: float, most: int):
             matrix[q.seed[q.at[v] : q.at[v + 1]], slot[v]] = 1
         least = np.full(s, 1e-6, np.float32)
         held, n_held = [], 0
+        begun, seen = [], 0  # the scores of the first pieces, whose best set the first bounds
 
         def best():
             """The best of what is held; sets the scores that newcomers must reach."""
@@ -192,12 +193,26 @@ def _search(queries, mean: float, most: int):
                 size_u = q.at[u + 1] - q.at[u]
                 cell = q.seed[_ranges(q.at[u], size_u)] * n + np.repeat(d, size_u)
                 score += np.bincount(cell, np.repeat(x, size_u), minlength=s * n).reshape(s, n).astype(np.float32)
-                own, j = np.divmod(np.flatnonzero((score >= least[:, None]).ravel()), n)
-                held.append((own.astype(np.int32), uids[lo + j], score[own, j], tails[lo + j]))
+                if begun is not None:
+                    begun.append((score, uids[lo : lo + n], tails[lo : lo + n]))
+                    seen += n
+                    if seen < 16 * most:
+                        continue
+                    score, uid, tail = (np.concatenate([x[k] for x in begun], int(k == 0)) for k in range(3))
+                    begun = None
+                    least = np.maximum(least, np.partition(score, seen - most, 1)[:, seen - most])
+                else:
+                    uid, tail = uids[lo : lo + n], tails[lo : lo + n]
+                own, j = np.divmod(np.flatnonzero((score >= least[:, None]).ravel()), score.shape[1])
+                held.append((own.astype(np.int32), uid[j], score[own, j], tail[j]))
                 n_held += len(own)
                 if n_held > 3 * s * most:
                     held = [best()]
                     n_held = len(held[0][0])
+        if begun:
+            score, uid, tail = (np.concatenate([x[k] for x in begun], int(k == 0)) for k in range(3))
+            own, j = np.divmod(np.flatnonzero((score >= least[:, None]).ravel()), score.shape[1])
+            held.append((own.astype(np.int32), uid[j], score[own, j], tail[j]))
         if held:
             own, uid, score, tail = best()
             for a in range(0, len(own), 1 << 16):
