@@ -72,9 +72,9 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def small(side: DataFrame) -> DataFrame:
-    """``side``, to be broadcast if it has at most ``FEW`` rows, which must be short ones; else joined by a shuffle."""
-    return F.broadcast(side) if side.count() <= FEW else side
+def small(side: DataFrame, most: int = FEW) -> DataFrame:
+    """``side``, to be broadcast if it has at most ``most`` rows, which must be short ones; else joined by a shuffle."""
+    return F.broadcast(side) if side.count() <= most else side
 
 
 def places(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,3 +111,18 @@ def passes(only, ids: np.ndarray) -> np.ndarray:
         word, bit = places(ids, k)
         ok &= (only.value[word.astype(np.int64)] & bit) != 0
     return ok
+
+
+def filtered(docs: DataFrame, keeper) -> DataFrame:
+    """The rows for whose texts ``keeper()`` gives true, with all columns, whatever their names; the texts stay whole."""
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    text = f"c{docs.columns.index('text')}"
+
+    def run(batches):
+        from ._text import blocks
+
+        keep = keeper()
+        for batch in blocks(batches, text):
+            yield batch.filter(pa.array(keep(batch.column(text))))
+
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

@@ -19,7 +19,8 @@ Counts cover every candidate of every document; the graph is written in the shar
 Result: (doc_id, start, end, kind, value, score, seed), start and end in characters of the text, one row for each place.
 
 Nulls: a null or empty text has no rows.  A null id stays null, repeated rows are read each by itself (their values
-count once in the graph), an empty table gives an empty result; other columns are not read.  Ties between kinds go to
+count once in the graph), an empty table gives an empty result; other columns, whatever their names, are not read and pass
+through ``mask``.  Ties between kinds go to
 the first by name.
 """
 
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import documents, small_batches, table, written
+from ._shared import documents, small, small_batches, table, written
 from ._text import blocks, utf8
 
 ROUNDS, SUPPORT, PRIOR, ACCEPT = 3, 3, 1.0, 0.5
@@ -248,35 +249,40 @@ def find_identifiers(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPO
 
 
 def _masked(names: list[str]):
+    """Masks column number k as c<k>, in the place of ``names``; spans come last."""
+
     def run(batches):
         for batch in batches:
-            text, spans = batch.column("text").to_pylist(), batch.column("found_spans").to_pylist()
+            columns = [batch.column(k) for k in range(len(names))]
+            at = names.index("text")
+            text, spans = columns[at].to_pylist(), batch.column(len(names)).to_pylist()
             for i, own in enumerate(spans):
                 if own and text[i] is not None:
-                    parts, at = [], 0
+                    parts, end = [], 0
                     for s in own:
-                        if s["start"] >= at and text[i][s["start"] : s["end"]] == s["value"]:
-                            parts += [text[i][at : s["start"]], f"[{s['kind'].upper()}]"]
-                            at = s["end"]
-                    text[i] = "".join(parts) + text[i][at:]
-            columns = {n: batch.column(n) for n in names}
-            columns["text"] = pa.array(text, pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) if t is not None else None for t in text]).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                        if s["start"] >= end and text[i][s["start"] : s["end"]] == s["value"]:
+                            parts += [text[i][end : s["start"]], f"[{s['kind'].upper()}]"]
+                            end = s["end"]
+                    text[i] = "".join(parts) + text[i][end:]
+            columns[at] = pa.array(text, pa.string())
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                columns[k] = pa.array([len(t) if t is not None else None for t in text]).cast(columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(names))])
 
     return run
 
 
 def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the identifiers of ``found`` replaced by ``[KIND]`` in text, n_chars counted again; all rows stay.
+    """``docs`` with the identifiers of ``found`` replaced by ``[KIND]`` in text, n_chars counted again; all rows and columns stay.
 
-    Rows that share an id are masked at the places where their own text holds the value.
+    Rows that share an id are masked at the places where their own text holds the value.  Columns may have any names.
     """
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind", "value"))).alias("found_spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-
-    return joined.drop("found_id").mapInArrow(_masked(docs.columns), docs.schema)
+    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind", "value"))).alias("spans"))
+    spans = written(spans, "pii-spans")
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    joined = own.join(small(spans, 1 << 17), own[f"c{docs.columns.index('doc_id')}"].eqNullSafe(spans["doc_id"]), "left").drop("doc_id")
+    return joined.mapInArrow(_masked(docs.columns), own.schema).toDF(*docs.columns)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram logistic regression, calibrated, against fixed thresholds.
 
-Features of a text, hashed into 2**18 slots: its words and word pairs, and the 3- and 4-grams of its bytes (with
-ASCII marks and case kept), each slot weighted by its share of the text's n-grams of that kind.  Shares make the score
+Features of a text, hashed into 2**18 slots: its words and word pairs, and the 3- and 4-grams of its characters (with
+marks and case kept), each slot weighted by its share of the text's n-grams of that kind.  Shares make the score
 independent of length, so a text is read whole and its n-grams are summed in one pass.
 
 Weights are learnt by Adam on the logistic loss over a sample of at most ``MAX_TRAIN`` labelled documents of each
@@ -11,8 +11,10 @@ labels as its class has for each one sampled.  Documents from ``KEEP`` on are ke
 below ``REJECT`` rejected, between them for review.
 
 Nulls: a null or empty text has no features and gets probability 0 and decision 'reject'.  A null id stays null,
-repeated rows are scored each by itself, an empty table gives an empty result.  Columns other than doc_id and text are
-not read.  If the labels hold one class only, every text with features gets that class's probability, 1 or 0.
+repeated rows are scored each by itself, an empty table gives an empty result.  Columns other than doc_id and text aren't
+read; ``without_rejected`` passes them on.  If the labels hold one class only, every text with features gets that class's
+probability, 1 or 0; without any label there is no ground to reject a text, and each with features gets 1.  Labels whose ids
+have the same hash are taken by the smaller id first.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, small_batches, table
+from ._shared import documents, filtered, small_batches, table
 from ._text import Words, blocks, mix, release, utf8
 
 MAX_TRAIN = 1200
@@ -45,7 +47,7 @@ class Model:
 
 
 def features(texts):
-    """(slots, document) of each kind of n-gram: word, word pair, byte 3-gram, byte 4-gram; documents in order."""
+    """(slots, document) of each kind of n-gram: word, word pair, 3 characters, 4 characters; documents in order."""
     w = Words(texts)
     n = len(w.first) - 1
     top = np.uint64(64 - 18)
@@ -58,18 +60,34 @@ def features(texts):
         same = doc[1:] == doc[:-1]
         yield (pair >> top).astype(np.int32)[same], doc[1:][same]
     data, offsets = utf8(texts)
-    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
-    if len(data) >= 4:
-        b = data.astype(np.uint32)
-        three = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
-        for gram, length in ((three, 3), (three[:-1] | b[3:] << np.uint32(24), 4)):
-            with np.errstate(over="ignore"):
+    point, edge = code_points(data, offsets)
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(edge))
+    if len(point) >= 4:
+        with np.errstate(over="ignore"):
+            three = point[:-2] * np.uint32(0x01000193) + point[1:-1] * np.uint32(0x0001F35D) + point[2:]
+            for gram, length in ((three, 3), (three[:-1] * np.uint32(0x00010DCD) + point[3:], 4)):
                 h = (gram ^ np.uint32(length)) * np.uint32(0x9E3779B1)
                 h ^= h >> np.uint32(15)
                 h *= np.uint32(0x85EBCA6B)
-            same = of[length - 1 :] == of[: len(of) - length + 1]
-            slot = (h >> np.uint32(14)).astype(np.int32)
-            yield (slot, of[: len(slot)]) if same.all() else (slot[same], of[: len(slot)][same])
+                same = of[length - 1 :] == of[: len(of) - length + 1]
+                slot = (h >> np.uint32(14)).astype(np.int32)
+                yield (slot, of[: len(slot)]) if same.all() else (slot[same], of[: len(slot)][same])
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes as numbers, and where the texts begin among them."""
+    if not (data >= 128).any():
+        return data.astype(np.uint32), offsets
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    d = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    out = d[at]
+    for least, most, first in ((0xC0, 0xE0, 0x1F), (0xE0, 0xF0, 0x0F), (0xF0, 0x100, 0x07)):
+        k = np.flatnonzero((out >= least) & (out < most) & (d[at] == out))
+        point = d[at[k]] & np.uint32(first)
+        for more in range(1, {0xC0: 2, 0xE0: 3, 0xF0: 4}[least]):
+            point = point << np.uint32(6) | d[at[k] + more] & np.uint32(0x3F)
+        out[k] = point
+    return out, np.searchsorted(at, offsets)
 
 
 def raw_scores(texts, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     chosen = known.filter("y = 0").orderBy("h", "doc_id").limit(most).union(known.filter("y = 1").orderBy("h", "doc_id").limit(most))
     counted = dict(map(tuple, known.groupBy("y").count().collect()))
     stands_for = tuple(counted.get(c, 0) / max(1, min(most, counted.get(c, 0))) for c in (0, 1))
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").filter("text is not null").select("h", "doc_id", "text", "y").collect()
-    rows = sorted(map(tuple, rows))
-    return train([r[2] for r in rows], [r[3] for r in rows], stands_for=stands_for)
+    rows = documents(docs).join(F.broadcast(chosen), "doc_id").filter("text is not null").select("h", "doc_id", "text", "y").toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    return train(rows.column("text").to_pylist(), rows.column("y").to_pylist(), stands_for=stands_for)
 
 
 def _scored(model: Model):
@@ -182,18 +200,11 @@ def quality(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> D
     return documents(docs).mapInArrow(_scored(model or fit(docs, labels)), SCHEMA)
 
 
-def _kept(model: Model):
-    def run(batches):
-        for batch in blocks(batches, most=2 << 20):
-            yield batch.filter(pa.array(probabilities(batch.column("text"), model) >= REJECT))
-
-    return run
-
-
 def without_rejected(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with all their columns."""
+    """The rows of ``docs`` that aren't rejected, with all their columns, whatever their names."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_kept(model or fit(docs, labels)), docs.schema)
+    model = model or fit(docs, labels)
+    return filtered(docs, lambda: lambda texts: probabilities(texts, model) >= REJECT)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,50 +1,47 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text: one from ordinary documents, one from what sets toxic documents
-apart, namely words and beginnings of words (4 to 6 bytes).  A window of a text is compressed with the ordinary
-dictionary, and with the toxic dictionary put before the same ordinary one; the bytes that the second saves are the
-window's margin.  Because both sides share the ordinary content, ordinary text has a margin of about nought whatever
-its language.
-
-The toxic side is a list of words, not a dictionary that zstandard trains on the toxic texts: it replaces the dealt
-method, which finds less on held-out labels (figures in the README).
+Two dictionaries are trained by zstandard on labelled text, separately: one on ordinary documents, one on toxic ones.  A
+toxic document is mostly ordinary prose, so the toxic dictionary is trained on the parts of toxic texts that recur
+among them and that ordinary texts don't hold: runs of bytes of which no ``D`` in a row stand in more than one in a thousand of
+the ordinary training texts, and which a first dictionary, trained on the other half of the toxic texts, compresses better in
+their context.  A window of a text is compressed with the ordinary dictionary, and with the toxic dictionary put before
+the same ordinary one; the bytes that the second saves are the window's margin.  Because both sides share the ordinary
+content, ordinary text has a margin of about nought whatever its language.
 
 Windows of 96 bytes at steps of 80 cover each whole text.  Those with a margin are compressed again as windows of 64
 bytes at steps of 32 with a closer parser, which settles the margin.  A document's score is the sum of its three
-largest window margins; it is toxic from a threshold on, which held-out labelled documents set: where at most ``FALSE_RATE`` of
-the ordinary ones are lost, the score with the best share of toxic ones found less ``COST`` times that of ordinary lost.
+largest window margins; it is toxic from a threshold on.  Three fifths of the labelled documents train; a fifth sets the toxic
+dictionary's size and the threshold: where at most ``FALSE_RATE`` of the ordinary ones are lost, the best share of toxic
+ones found less ``COST`` times that of ordinary lost; the last fifth, which nothing else sees, gives ``Model.held_out``.
 
-Training reads at most ``MAX_TRAIN`` labelled documents of each class, those with the smallest hash of their id; all
-else covers every document.
+Training reads at most ``MAX_TRAIN`` labelled documents of each class, whole, those with the smallest hash of their id (ties: the
+smaller id); all else covers every document.
 
 Nulls: a null, empty or very short text has score 0 and is not toxic.  A null id stays null, repeated rows are scored
-each by itself, and an empty table gives an empty result.  Columns other than doc_id and text are not read.  Without
-toxic labels nothing is toxic.
+each by itself, and an empty table gives an empty result.  Columns other than doc_id and text aren't read; ``without_toxic``
+passes them on.  Without toxic labels nothing is toxic.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, small_batches, table
-from ._text import blocks, lowered, release
+from ._shared import documents, filtered, small_batches, table
+from ._text import blocks, lowered, mix, release
 
 MAX_TRAIN = 2000
 FALSE_RATE, COST = 0.02, 3.0
 WIDE, WIDE_STEP, CLOSE, CLOSE_STEP = 96, 80, 64, 32
 GATE = 1
-STEMS = (4, 5, 6)
-RATIO, COMMON = 40, 0.02
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
+D, AROUND, RARE, SAVED = 6, 28, 0.001, 3
+ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES, SEGMENTS = 16384, 2048, (288, 320, 384, 512), (12, 16)
+_COVER = {"d": D, "f": 20, "split_point": 1.0}
 TOP = 3
 SCHEMA = "doc_id bigint, score int, windows int, marked int, toxic boolean"
 
@@ -59,7 +56,7 @@ class Model:
     toxic: bytes
     threshold: int
     held_out: tuple[float, float] = (0.0, 0.0)
-    """Of the held-out documents: the part of toxic ones found, of ordinary ones lost."""
+    """Of documents that neither trained nor calibrated: the part of toxic ones found, of ordinary ones lost."""
 
 
 def normalised(texts) -> tuple[bytes, np.ndarray]:
@@ -124,68 +121,93 @@ class Scorer:
         return score, counts, marked
 
 
-def _apart(texts: list[bytes]) -> list[bytes]:
-    """One of each group of copies: those that share the least word hash."""
-    seen, out = set(), []
+def _codes(text: bytes) -> np.ndarray:
+    """A slot for each ``D`` bytes in a row."""
+    a = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(a) - D + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(D):
+        h |= a[k : n + k] << np.uint64(8 * k)
+    return (mix(h) >> np.uint64(64 - 24)).astype(np.int64)
+
+
+def novel(texts: list[bytes], ordinary: list[bytes]) -> list[list[tuple[bytes, bytes]]]:
+    """(part, part in its context) of the parts of each text whose ``D`` bytes in a row stand in few ordinary texts; each part once a text."""
+    common = np.zeros(1 << 24, np.uint16)
+    for t in ordinary:
+        common[np.unique(_codes(t))] += 1
+    common = common > RARE * len(ordinary)
+    out = []
     for t in texts:
-        key = min((xxhash.xxh64_intdigest(w) for w in set(t.split()) if len(w) > 6), default=None)
-        if key is None or key not in seen:
-            seen.add(key)
-            out.append(t)
+        new = ~common[_codes(t)]
+        mark = np.zeros(len(t), bool)
+        for k in range(D):
+            mark[k : len(new) + k] |= new
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
+        own: dict[bytes, bytes] = {}
+        for a, b in zip(edge[::2], edge[1::2]):
+            own.setdefault(b"  " + t[a:b].strip() + b"  ", t[max(0, a - AROUND) : b + AROUND])
+        out.append(list(own.items()))
     return out
 
 
+def trained(size: int, samples: list[bytes], **how) -> bytes:
+    """A dictionary that zstandard trains on the samples; the samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+def recurrent(parts: list[list[tuple[bytes, bytes]]], ordinary: bytes) -> list[bytes]:
+    """The novel parts of toxic texts that a dictionary trained on the other half of the toxic texts compresses better."""
+    kept: list[bytes] = []
+    for half in (0, 1):
+        other = [x for own in parts[1 - half :: 2] for x in own]
+        scorer = Scorer(Model(ordinary, trained(FIRST_BYTES, [x for own in parts[half::2] for x, _ in own], k=16, **_COVER), 1))
+        if other and not scorer.silent:
+            ends = np.cumsum([len(c) for _, c in other])
+            windows = np.stack([np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)], 1)
+            margin = scorer._margin(scorer.close, b"".join(c for _, c in other), windows)
+            kept += [x for (x, _), m in zip(other, margin) if m >= SAVED]
+    return kept or [x for own in parts for x, _ in own]
+
+
+def _threshold(clean: np.ndarray, dirty: np.ndarray) -> tuple[float, int]:
+    """The threshold at which at most ``FALSE_RATE`` of the clean are lost that is best by found less COST times lost; its worth."""
+    least = 2
+    while len(clean) and (clean >= least).mean() > FALSE_RATE:
+        least += 1
+    if not len(dirty):
+        return 0.0, least
+    return max(((dirty >= t).mean() - COST * ((clean >= t).mean() if len(clean) else 0.0), t) for t in range(least, least + 8))
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """Dictionaries from three quarters of the labelled texts, the threshold from the rest."""
+    """Dictionaries from three fifths of the labelled texts; the toxic one's size and the threshold from another, the figures from the last."""
     data, offsets = normalised(pa.array(texts, pa.large_string()))
     rows = [data[a:b] for a, b in zip(offsets, offsets[1:])]
-    held = [i for i in range(len(rows)) if i % 4 == 3]
-    of = lambda c: _apart([r for i, (r, t) in enumerate(zip(rows, toxic)) if t == c and i % 4 != 3])
-    bad, good = of(1), of(0)
-    in_bad, in_good = (Counter(w for r in side for w in {p for w in r.split() for p in (w, *(w[:k] for k in STEMS if k < len(w)))}) for side in (bad, good))
-    n, m = len(bad), len(good)
-
-    def marks(w: bytes) -> bool:
-        """Ten times as common in toxic documents, and beyond chance for all the words there are (likelihood ratio)."""
-        x, y = in_bad[w], in_good[w]
-        share = n / (n + m)
-        ratio = 2 * (x * math.log(x / ((x + y) * share)) + (y * math.log(y / ((x + y) * (1 - share))) if y else 0))
-        return x >= max(3, COMMON * n) and x / n >= 10 * (y + 0.5) / (m + 1) and ratio >= RATIO
-
-    chosen = sorted(filter(marks, in_bad), key=lambda w: (in_bad[w], w)) if n and m else []
-    kept = set(chosen)
-    for w in chosen:  # a word or its beginning, whichever says more
-        for p in {w[:k] for k in STEMS if k < len(w)} & set(chosen):
-            if in_bad[w] < 0.5 * in_bad[p]:
-                kept.discard(w)
-            elif in_bad[w] >= 0.9 * in_bad[p]:
-                kept.discard(p)
-    chosen = [w for w in chosen if w in kept]
-    whole = {w for r in bad for w in r.split()}
-    windows = [b" " + w + b" " * (w in whole) for w in chosen]  # words end, stems don't
-    total = b"".join(windows)
-    if len(total) > TOXIC_BYTES:  # more than fits: zstandard picks the parts that recur most
-        total = zstandard.train_dictionary(TOXIC_BYTES, [w for w in windows for _ in range(min(50, in_bad[w.strip()]))], k=16, d=6, f=20, split_point=1.0).as_bytes()
-    parts = [r[i : i + 256] for r in good for i in range(0, len(r), 256)]
-    parts = [parts[i] for i in np.random.default_rng(0).permutation(len(parts))[:30000]]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, parts).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        ordinary = b"".join(parts)[-ORDINARY_BYTES:]
-    model = Model(ordinary, total, 1)
-    if not held:
-        return model
-    score, _, _ = Scorer(model)(pa.array([texts[i] for i in held], pa.large_string()))
-    known = np.array([toxic[i] for i in held])
-    clean, dirty = np.sort(score[known == 0]), score[known == 1]
-    threshold = 2
-    if len(clean):
-        while (clean >= threshold).mean() > FALSE_RATE:
-            threshold += 1
-        if len(dirty):  # where few clean ones are lost, the best of found less COST times lost
-            threshold = max(range(threshold, threshold + 8), key=lambda t: ((dirty >= t).mean() - COST * (clean >= t).mean(), t))
-    found = float((dirty >= threshold).mean()) if len(dirty) else 0.0
-    return Model(ordinary, total, threshold, (found, float((clean >= threshold).mean()) if len(clean) else 0.0))
+    part = np.arange(len(rows)) % 5
+    bad, good = (list(dict.fromkeys(r for r, t, k in zip(rows, toxic, part) if t == c and k < 3)) for c in (1, 0))
+    ordinary = trained(ORDINARY_BYTES, [r[i : i + 256] for r in good for i in range(0, len(r), 256)])
+    if not bad:
+        return Model(ordinary, b"", 2)
+    parts = recurrent(novel(bad, good), ordinary)
+    known = np.array(toxic)
+    asked = [pa.array([t for t, k in zip(texts, part) if k == c], pa.large_string()) for c in (3, 4)]
+    tune, test = known[part == 3], known[part == 4]
+    best = None
+    for size in TOXIC_BYTES:
+        for k in SEGMENTS:
+            model = Model(ordinary, trained(size, parts, k=k, **_COVER), 2)
+            score = Scorer(model)(asked[0])[0]
+            worth, threshold = _threshold(score[tune == 0], score[tune == 1])
+            if best is None or worth > best[0]:
+                best = worth, threshold, model
+    _, threshold, model = best
+    score = Scorer(model)(asked[1])[0]
+    share = lambda c: float((score[test == c] >= threshold).mean()) if (test == c).any() else 0.0
+    return Model(ordinary, model.toxic, int(threshold), (share(1), share(0)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -197,9 +219,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    rows = sorted(map(tuple, sample(documents(docs), labels, "toxic", most).collect()))
-    model = train([r[2] for r in rows], [r[3] for r in rows])
+    rows = sample(documents(docs), labels, "toxic", most).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    texts, toxic = rows.column("text").to_pylist(), rows.column("y").to_pylist()
     del rows
+    model = train(texts, toxic)
+    del texts
     release()
     return model
 
@@ -221,19 +245,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     return documents(docs).mapInArrow(_scored(model or fit(docs, labels)), SCHEMA)
 
 
-def _kept(model: Model):
-    def run(batches):
-        scorer = Scorer(model)
-        for batch in blocks(batches):
-            yield batch.filter(pa.array(scorer(batch.column("text"))[0] < model.threshold))
-
-    return run
-
-
 def without_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns."""
+    """The rows of ``docs`` that aren't toxic, with all their columns, whatever their names."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_kept(model or fit(docs, labels)), docs.schema)
+    model = model or fit(docs, labels)
+
+    def keeper():
+        scorer = Scorer(model)
+        return lambda texts: scorer(texts)[0] < model.threshold
+
+    return filtered(docs, keeper)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
