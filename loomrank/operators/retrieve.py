@@ -19,6 +19,13 @@ def seeds(corpus: DataFrame, queries: DataFrame, seed_k: int) -> DataFrame:
     return dense.join(sparse, ["qid", "id"], "full")
 
 
+def fused_mass(seeded: DataFrame, k: int = 60) -> DataFrame:
+    """(qid, node, weight): reciprocal rank fusion of the two lists of ``seeds``, the mass that PageRank starts from."""
+    q = Window.partitionBy("qid")
+    part = lambda c: F.when(F.col(c).isNotNull(), 1.0 / (F.row_number().over(q.orderBy(F.desc_nulls_last(c), "id")) + F.lit(k))).otherwise(0.0)
+    return seeded.select("qid", F.col("id").alias("node"), (part("sim") + part("bm")).alias("weight"))
+
+
 def components(seeded: DataFrame, weight: float | None = None, ppr: DataFrame | None = None, mix: float = 0.0, entity: DataFrame | None = None, entity_mix: float = 0.0) -> DataFrame:
     """(qid, id, similarity, dense, lexical, graph, entity, score); the score is the sum of the four, candidates above 0.
 

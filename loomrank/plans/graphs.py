@@ -84,11 +84,10 @@ def ppr_converged(spark, d):
 
 @query()
 def graph_boost(spark, d):
-    """Hybrid retrieval with the graph's part: PageRank seeded by each query's fused seeds."""
+    """Hybrid retrieval with the graph's part: PageRank seeded by the rank fusion of each query's seeds."""
     c, q = corpus(spark, d), questions(spark, d)
     seeded = retrieve.seeds(c, q, 24)
-    seeds = seeded.select("qid", F.col("id").alias("node"), (F.coalesce("sim", F.lit(0.0)) + F.lit(0.001)).alias("weight"))
-    mass = graph.pagerank(_edges(spark, d), _nodes(spark, d), seeds, rounds=ROUNDS, tolerance=None).withColumnRenamed("node", "id")
+    mass = graph.pagerank(_edges(spark, d), _nodes(spark, d), retrieve.fused_mass(seeded), rounds=ROUNDS, tolerance=None).withColumnRenamed("node", "id")
     return retrieve.best(retrieve.components(seeded, ppr=mass, mix=0.2), 8, "id")
 
 

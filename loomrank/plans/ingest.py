@@ -120,13 +120,18 @@ def redact_corpus(spark, d):
     return R.redacted(documents(spark, d)).select("doc_id", "text", R.summary(F.col("findings")).alias("summary"))
 
 
+_KNOWN = "known AS (SELECT text FROM benchmark UNION ALL SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 0)"
+
 # Corpus maintenance ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+@query(f"""WITH {_KNOWN} SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents
+WHERE text NOT IN (SELECT text FROM known)) WHERE k = 1""")
 def dedup_hash(spark, d):
+    """All documents as a batch, against a store that knows the passages of the benchmark and what is labelled of low quality."""
     docs = documents(spark, d).withColumn("ord", F.col("doc_id"))
-    return corpus.new_documents(docs, docs.limit(0)).select("doc_id", "text")
+    low = documents(spark, d).join(table(spark, d, "labels").filter("quality = 0"), "doc_id", "left_semi").select("text")
+    return corpus.new_documents(docs, low.unionByName(table(spark, d, "benchmark").select("text"))).select("doc_id", "text")
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS owner, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS duplicate FROM documents")
@@ -134,21 +139,24 @@ def dedup_owner(spark, d):
     return corpus.owners(documents(spark, d))
 
 
-#: a store of the even documents; a batch of those divisible by three, every fifth of them changed
-_STORE = "store AS (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0)"
-_BATCH = "batch AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 3 = 0)"
+#: a store of all documents; a batch of all of them, every third under a new id, every fifth with a changed text
+_SHIFT = 1 << 40
+_STORE = "store AS (SELECT doc_id, text FROM documents)"
+_BATCH = f"""batch AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + {_SHIFT} ELSE doc_id END AS doc_id,
+  CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text FROM documents)"""
 _ACTIONS = f"""{_STORE}, {_BATCH}, own AS (SELECT sha256(text) AS h, min(doc_id) AS owner FROM store GROUP BY 1),
 act AS (SELECT b.doc_id, b.text, CASE WHEN s.text = b.text THEN 'unchanged' WHEN own.owner IS NOT NULL THEN 'duplicate' WHEN s.doc_id IS NOT NULL THEN 'updated' ELSE 'added' END AS action, own.owner
   FROM batch b LEFT JOIN store s ON s.doc_id = b.doc_id LEFT JOIN own ON own.h = sha256(b.text))"""
 
 
 def _store(spark, d):
-    return documents(spark, d).filter("doc_id % 2 = 0")
+    return documents(spark, d)
 
 
 def _batch(spark, d):
+    doc_id = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + _SHIFT).otherwise(F.col("doc_id"))
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
-    return documents(spark, d).filter("doc_id % 3 = 0").select("doc_id", text.alias("text"))
+    return documents(spark, d).select(doc_id.alias("doc_id"), text.alias("text"))
 
 
 @query(f"WITH {_ACTIONS} SELECT doc_id, action, CASE WHEN action = 'duplicate' THEN owner END AS owner FROM act")
@@ -162,11 +170,12 @@ def upsert_store(spark, d):
     return corpus.upserted(_store(spark, d), _batch(spark, d))
 
 
-@query(f"""WITH {CHUNKS_SQL}, old AS (SELECT * FROM chunks WHERE pos % 2 = 0)
+@query(f"""WITH {CHUNKS_SQL}, old AS (SELECT doc_id, CASE WHEN pos % 2 = 0 THEN text ELSE text || ' changed' END AS text FROM chunks)
 SELECT doc_id, pos, EXISTS (SELECT 1 FROM old WHERE old.doc_id = c.doc_id AND old.text = c.text) AS reused FROM chunks c""")
 def chunk_reuse(spark, d):
     c = word_chunks(spark, d)
-    return corpus.chunks_to_embed(c, c.filter("pos % 2 = 0"))
+    old = F.when(F.col("pos") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" changed")))
+    return corpus.chunks_to_embed(c, c.withColumn("text", old))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, doc_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -200,11 +209,11 @@ def metadata_merge(spark, d):
     return corpus.merged_metadata(old, table(spark, d, "labels").select("doc_id", new.alias("meta")))
 
 
-@query("""WITH dst AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), src AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0)
-SELECT * FROM dst UNION ALL SELECT * FROM src WHERE doc_id NOT IN (SELECT doc_id FROM dst) AND text NOT IN (SELECT text FROM dst)""")
+@query(f"""WITH {_STORE}, {_BATCH}
+SELECT * FROM store UNION ALL SELECT * FROM batch WHERE doc_id NOT IN (SELECT doc_id FROM store) AND text NOT IN (SELECT text FROM store)""")
 def merge_skip(spark, d):
-    docs = table(spark, d, "documents")
-    return corpus.merge(docs.filter("lang = 'en'").select("doc_id", "text"), docs.filter("doc_id % 3 = 0").select("doc_id", "text"))
+    """Two whole stores: what has an id or a text of the first is skipped."""
+    return corpus.merge(_store(spark, d), _batch(spark, d))
 
 
 @query(f"""WITH {CHUNKS_SQL} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT sha256(text)) FROM documents) AS contents, count(*) AS chunks FROM chunks""")

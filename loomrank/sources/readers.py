@@ -152,17 +152,21 @@ def save(tables: dict[str, DataFrame], path: str, vectors: str = "exact") -> str
     out.write(bytearray(f"v{n}".encode()))
     out.close()
     now = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_current")
-    if fs.exists(now):
-        fs.delete(now, False)
-    fs.rename(new, now)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(now), how)  # in one step: a reader sees the old version or the new one
     return folder
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of the current version."""
     fs, p = _fs(spark, path)
-    marker = spark.read.text(f"{path.rstrip('/')}/_current").first()
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{marker[0]}")
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_current"))  # Spark's own readers pass over such names
+    version = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{version.strip()}")
     return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(folder)}
 
 
