@@ -135,7 +135,7 @@ def novel(texts: list[bytes], ordinary: list[bytes]) -> list[list[tuple[bytes, b
     """(part, part in its context) of the parts of each text whose ``D`` bytes in a row stand in few ordinary texts; each part once a text."""
     common = np.zeros(1 << 24, np.uint16)
     for t in ordinary:
-        common[np.unique(_codes(t))] += 1
+        common[np.unique(_codes(t))] += 1  # at most one a text, and fewer than 65,536 texts
     common = common > RARE * len(ordinary)
     out = []
     for t in texts:
@@ -183,10 +183,22 @@ def _threshold(clean: np.ndarray, dirty: np.ndarray) -> tuple[float, int]:
     return max(((dirty >= t).mean() - COST * ((clean >= t).mean() if len(clean) else 0.0), t) for t in range(least, least + 8))
 
 
+def _batches(texts: list[str]):
+    """Small batches, so that training needs little memory beside the texts."""
+    return blocks([pa.record_batch([pa.array(texts, pa.large_string())], ["text"])], most=1 << 19)
+
+
+def _scores(model: Model, texts: list[str]) -> np.ndarray:
+    scorer = Scorer(model)
+    return np.concatenate([scorer(b.column("text"))[0] for b in _batches(texts)] or [np.zeros(0, np.int64)])
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Dictionaries from three fifths of the labelled texts; the toxic one's size and the threshold from another, the figures from the last."""
-    data, offsets = normalised(pa.array(texts, pa.large_string()))
-    rows = [data[a:b] for a, b in zip(offsets, offsets[1:])]
+    rows = []
+    for batch in _batches(texts):
+        data, offsets = normalised(batch.column("text"))
+        rows += [data[a:b] for a, b in zip(offsets, offsets[1:])]
     part = np.arange(len(rows)) % 5
     bad, good = (list(dict.fromkeys(r for r, t, k in zip(rows, toxic, part) if t == c and k < 3)) for c in (1, 0))
     ordinary = trained(ORDINARY_BYTES, [r[i : i + 256] for r in good for i in range(0, len(r), 256)])
@@ -194,18 +206,18 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         return Model(ordinary, b"", 2)
     parts = recurrent(novel(bad, good), ordinary)
     known = np.array(toxic)
-    asked = [pa.array([t for t, k in zip(texts, part) if k == c], pa.large_string()) for c in (3, 4)]
+    asked = [[t for t, k in zip(texts, part) if k == c] for c in (3, 4)]
     tune, test = known[part == 3], known[part == 4]
     best = None
     for size in TOXIC_BYTES:
         for k in SEGMENTS:
             model = Model(ordinary, trained(size, parts, k=k, **_COVER), 2)
-            score = Scorer(model)(asked[0])[0]
+            score = _scores(model, asked[0])
             worth, threshold = _threshold(score[tune == 0], score[tune == 1])
             if best is None or worth > best[0]:
                 best = worth, threshold, model
     _, threshold, model = best
-    score = Scorer(model)(asked[1])[0]
+    score = _scores(model, asked[1])
     share = lambda c: float((score[test == c] >= threshold).mean()) if (test == c).any() else 0.0
     return Model(ordinary, model.toxic, int(threshold), (share(1), share(0)))
 
