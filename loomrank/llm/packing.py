@@ -7,8 +7,10 @@ Search.  The seeds are the pieces of all documents whose id is divisible by ``SE
 distinct words, and its neighbours are the ``NEIGHBOURS`` pieces of the whole corpus, seeds apart, with the best positive
 BM25 score (ties: the earlier row).  Document frequencies, the number of pieces and their mean length are counted over the
 whole corpus.  The search is exact: pieces are dealt to shards, each shard scores all its pieces for all seeds and gives
-its best, and these are merged.  Seeds come in blocks of about ``SEEDS``, so what is broadcast is bounded.  In a shard
-words that are common on both sides are one matrix product, the others go through the inverted lists of the seeds.
+its best, and these are merged.  Seeds come in blocks of about ``SEEDS``, so what is broadcast is bounded.  Seeds that share
+common words form groups, languages say.  In a shard a piece is scored for the seeds of its own group, common words by a
+matrix product, the others by the inverted lists; it is scored for a seed of another group unless a bound on its score,
+from the greatest weight of each word among the pieces at hand, shows that it can't be one of the seed's best.
 
 Filling.  In turns each unused piece goes to the seed that scores it best, of those it still fits (ties: the earlier
 seed), and each seed takes what it gets in order of score as long as it fits, until no seed can take any more.  What no
@@ -38,7 +40,8 @@ from ._text import Words, blocks, mix, release
 
 WINDOW, LONG, SEED_EVERY, NEIGHBOURS, SEEDS, OPEN = 2048, 8, 20, 32, 8192, 32
 K1, B = 1.2, 0.75
-DENSE, TOGETHER = 0.002, 64
+DENSE, TOGETHER = 0.003, 64
+GROUPS, ALIKE, KINDS = 8, 0.5, 256
 PIECES = "uid bigint, doc_id bigint, seed boolean, key bigint, n_words int, tail int, cuts array<int>, terms binary"
 WINDOWS = "kind string, seed bigint, doc_ids array<bigint>, starts array<int>, ends array<int>, words array<int>, scores array<double>, n_words int"
 _TF = np.uint64(2047)
@@ -128,33 +131,99 @@ def _exploded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("uid").to_numpy(), size)), pa.array((terms >> np.uint64(11)).view(np.int64))], ["uid", "term"])
 
 
+def _grouped(matrix: np.ndarray, groups: int) -> np.ndarray:
+    """Directions of at most ``groups`` kinds of rows (languages, say): rows that stand for most others, then spherical means; alike ones are merged."""
+    rows = matrix[matrix.any(1)]
+    if not len(rows):
+        return np.zeros((1, matrix.shape[1]), np.float32)
+    rows = rows / np.linalg.norm(rows, axis=1)[:, None]
+    some = rows[:: max(1, len(rows) // 512)]
+    alike = rows @ some.T
+    best, centre = np.zeros(len(rows), np.float32), []
+    for _ in range(groups):
+        gain = np.maximum(alike - best[:, None], 0).sum(0)
+        k = int(np.argmax(gain))
+        if gain[k] < 0.01 * len(rows):
+            break
+        centre.append(some[k])
+        best = np.maximum(best, alike[:, k])
+    centre = np.array(centre, np.float32)
+    for _ in range(4):
+        own = np.argmax(rows @ centre.T, 1)
+        means = [rows[own == k].sum(0) for k in range(len(centre)) if (own == k).any()]
+        centre = np.array([m / np.linalg.norm(m) for m in means], np.float32)
+    kept: list[np.ndarray] = []
+    size = np.bincount(np.argmax(rows @ centre.T, 1), minlength=len(centre))
+    for k in np.argsort(-size, kind="stable"):
+        if all(centre[k] @ c < ALIKE for c in kept):
+            kept.append(centre[k])
+    return np.array(kept, np.float32)
+
+
 class Queries:
-    """A block of seeds: ``uid``, and by word ``terms``, its weight ``idf``, the seeds ``seed[at[v]:at[v + 1]]`` that have it, and its column if ``dense``."""
+    """A block of seeds: ``uid``, and by word ``terms``, its weight ``idf`` and the seeds ``seed[at[v]:at[v + 1]]`` that have it.
+
+    Seeds are numbered by group: group g has ``edge[g]`` to ``edge[g + 1]``, and the part of a word's list from ``cut[v, g]`` to ``cut[v, g + 1]``.
+    Column ``slot[g][v]`` of the matrix of a group is for a word that is common there; ``words[first[s]:first[s + 1]]`` are those of seed s.
+    """
 
-    def __init__(self, uid: np.ndarray, term: np.ndarray, df: np.ndarray, n: int):
+    def __init__(self, uid: np.ndarray, term: np.ndarray, df: np.ndarray, n: int, groups: int = GROUPS):
         self.uid, own = np.unique(uid, return_inverse=True)
+        s = len(self.uid)
         order = np.lexsort((own, term))
         own, term, df = own[order], term[order], df[order]
         new = np.flatnonzero(np.concatenate([term[:1] == term[:1], term[1:] != term[:-1]]))
-        self.terms, self.seed, self.at = term[new], own.astype(np.int32), np.append(new, len(term))
-        df = df[new]
+        self.terms, at, df = term[new], np.append(new, len(term)), df[new]
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.dense = (np.diff(self.at) / max(1, len(self.uid))) * (df / n) > DENSE
+        v = np.repeat(np.arange(len(new)), np.diff(at))
+        rate = np.diff(at) / max(1, s)
+        self.common = np.flatnonzero(rate * (df / n) > DENSE)
+        self.common = self.common[np.argsort(-rate[self.common], kind="stable")[:KINDS]]
+        column = np.full(len(new), -1)
+        column[self.common] = np.arange(len(self.common))
+        matrix = np.zeros((s, len(self.common)), np.float32)
+        some = column[v] >= 0
+        matrix[own[some], column[v[some]]] = self.idf[v[some]]
+        self.centre = _grouped(matrix, groups)
+        group = np.argmax(matrix @ self.centre.T, 1)
+        order = np.argsort(group, kind="stable")
+        self.uid, place = self.uid[order], np.argsort(order, kind="stable")
+        self.edge = np.searchsorted(group[order], np.arange(len(self.centre) + 1))
+        own = place[own]
+        order = np.lexsort((own, v))
+        self.seed, v = own[order].astype(np.int32), v[order]
+        self.cut = np.searchsorted(v * s + self.seed, np.arange(len(new))[:, None] * s + self.edge).astype(np.int32)
+        share = np.diff(self.cut, axis=1) / np.maximum(np.diff(self.edge), 1)
+        self.slot = [np.where(c, np.cumsum(c) - 1, -1).astype(np.int32) for c in (share * share > DENSE).T]
+        order = np.lexsort((v, self.seed))
+        self.words, self.first = v[order].astype(np.int32), np.searchsorted(self.seed[order], np.arange(s + 1))
+
+    def matrix(self, g: int) -> np.ndarray:
+        out = np.zeros((self.edge[g + 1] - self.edge[g], int(self.slot[g].max(initial=-1)) + 1), np.float32)
+        v = np.flatnonzero(self.slot[g] >= 0)
+        size = self.cut[v, g + 1] - self.cut[v, g]
+        out[self.seed[_ranges(self.cut[v, g], size)] - self.edge[g], np.repeat(self.slot[g][v], size)] = 1
+        return out
 
 
 def _search(queries, mean: float, most: int):
-    """The best pieces of a shard for each seed: (seed, uid, score, tail)."""
+    """The best pieces of a shard for each seed: (seed, uid, score, tail).
+
+    The pieces of a batch are dealt to the groups of the seeds.  A piece is scored for all seeds of its own group, and for those of the
+    others that ``TOGETHER`` pieces at once may still give one of the best: by the sum of the greatest weight of each word.
+    """
 
     def run(batches):
         q: Queries = queries.value
-        s = len(q.uid)
-        slot = np.where(q.dense, np.cumsum(q.dense) - 1, -1)
-        matrix = np.zeros((s, int(q.dense.sum())), np.float32)
-        for v in np.flatnonzero(q.dense):
-            matrix[q.seed[q.at[v] : q.at[v + 1]], slot[v]] = 1
+        s, groups = len(q.uid), len(q.centre)
+        matrices = [q.matrix(g) for g in range(groups)]
+        elsewhere = [np.diff(q.cut[:, [0, -1]], axis=1)[:, 0] > q.cut[:, g + 1] - q.cut[:, g] for g in range(groups)]
         least = np.full(s, 1e-6, np.float32)
+        begun: list = [[] for _ in range(groups)]  # the scores of the first pieces, whose best set the first bounds
         held, n_held = [], 0
-        begun, seen = [], 0  # the scores of the first pieces, whose best set the first bounds
+        row = np.full(len(q.terms), -1, np.int32)  # of a word among those of the pieces at hand
+        among = np.full(len(q.terms), -1)
+        among[q.common] = np.arange(len(q.common))
 
         def best():
             """The best of what is held; sets the scores that newcomers must reach."""
@@ -168,6 +237,66 @@ def _search(queries, mean: float, most: int):
             order = order[keep]
             return own[keep], uid[order], score[order], tail[order]
 
+        def hold(seeds, score, uid, tail):
+            nonlocal held, n_held
+            bound = least[seeds]
+            i, j = np.divmod(np.flatnonzero((score >= bound[:, None]).ravel()), score.shape[1])
+            held.append((seeds[i].astype(np.int32), uid[j], score[i, j], tail[j]))
+            n_held += len(i)
+            if n_held > 3 * s * most:
+                held = [best()]
+                n_held = len(held[0][0])
+
+        def begin(g):
+            """Bounds for the seeds of a group from its first pieces."""
+            parts, begun[g] = begun[g], None
+            score, uid, tail = (np.concatenate([x[k] for x in parts], int(k == 0)) for k in range(3))
+            own = np.arange(q.edge[g], q.edge[g + 1])
+            if score.shape[1] >= most:
+                least[own] = np.maximum(least[own], np.partition(score, score.shape[1] - most, 1)[:, score.shape[1] - most])
+            hold(own, score, uid, tail)
+
+        def inside(g, d, v, x, n):
+            """Scores of n pieces for the seeds of their group."""
+            slot = q.slot[g][v]
+            common = slot >= 0
+            right = np.zeros((matrices[g].shape[1], n), np.float32)
+            right[slot[common], d[common]] = x[common]
+            score = matrices[g] @ right
+            d, v, x = d[~common], v[~common], x[~common]
+            size = q.cut[v, g + 1] - q.cut[v, g]
+            cell = (q.seed[_ranges(q.cut[v, g], size)] - np.int32(q.edge[g])) * np.int32(n) + np.repeat(d.astype(np.int32), size)
+            np.add.at(score.reshape(-1), cell, np.repeat(x, size))
+            return score
+
+        def outside(g, d, v, x, n):
+            """The seeds of other groups that these pieces may be among the best of, and their scores."""
+            asked = np.flatnonzero(elsewhere[g][v])
+            if not len(asked):
+                return asked, None
+            asked = asked[np.argsort(v[asked], kind="stable")]
+            d, v, x = d[asked], v[asked], x[asked]
+            new = np.flatnonzero(np.diff(v, prepend=-1))
+            u, top = v[new], np.maximum.reduceat(x, new)
+            bound = np.zeros(s)
+            for a, b in ((0, g), (g + 1, groups)):
+                if q.edge[b] > q.edge[a]:
+                    size = q.cut[u, b] - q.cut[u, a]
+                    bound += np.bincount(q.seed[_ranges(q.cut[u, a], size)], np.repeat(top, size), minlength=s)
+            seeds = np.flatnonzero(bound >= np.maximum(least * 0.9999 - 1e-2, 1e-6))
+            if not len(seeds):
+                return seeds, None
+            row[u] = np.arange(len(u))
+            right = np.zeros((len(u), n), np.float32)
+            right[row[v], d] = x
+            size = q.first[seeds + 1] - q.first[seeds]
+            at = row[q.words[_ranges(q.first[seeds], size)]]
+            row[u] = -1
+            matrix = np.zeros((len(seeds), len(u)), np.float32)
+            matrix[np.repeat(np.arange(len(seeds)), size)[at >= 0], at[at >= 0]] = 1
+            score = matrix @ right
+            return seeds, score
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -177,42 +306,43 @@ def _search(queries, mean: float, most: int):
             v = np.minimum(np.searchsorted(q.terms, term), len(q.terms) - 1)
             hit = np.flatnonzero(q.terms[v] == term)
             doc, v, tf = np.repeat(np.arange(len(uids)), size)[hit], v[hit], tf[hit]
-            weight = q.idf[v] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tails[doc] / mean))
-            cut = np.searchsorted(doc, np.arange(0, len(uids) + TOGETHER, TOGETHER))
-            for k, (a, b) in enumerate(zip(cut, cut[1:])):
-                lo = k * TOGETHER
-                n = min(TOGETHER, len(uids) - lo)
-                if a == b or n <= 0:
+            weight = (q.idf[v] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tails[doc] / mean))).astype(np.float32)
+            near = np.zeros((len(uids), len(q.common)), np.float32)
+            some = among[v] >= 0
+            near[doc[some], among[v[some]]] = q.idf[v[some]]
+            kind = np.argmax(near @ q.centre.T, 1)
+            place = np.empty(len(uids), np.int64)
+            order = np.lexsort((-tails, kind))
+            place[order] = np.arange(len(uids))
+            uids, tails, kind, doc = uids[order], tails[order], kind[order], place[doc]
+            order = np.argsort(doc, kind="stable")
+            doc, v, weight = doc[order], v[order], weight[order]
+            parts = []
+            for g in range(groups):
+                lo, hi = np.searchsorted(kind, [g, g + 1])
+                parts += [(g, a, min(a + TOGETHER, hi)) for a in range(lo, hi, TOGETHER)]
+            parts = [(g, lo, hi, *np.searchsorted(doc, [lo, hi])) for g, lo, hi in parts]
+            for g, lo, hi, a, b in parts:
+                if q.edge[g] == q.edge[g + 1]:
+                    continue
+                score = inside(g, doc[a:b] - lo, v[a:b], weight[a:b], hi - lo)
+                if begun[g] is None:
+                    hold(np.arange(q.edge[g], q.edge[g + 1]), score, uids[lo:hi], tails[lo:hi])
                     continue
-                d, u, x = doc[a:b] - lo, v[a:b], weight[a:b]
-                common = slot[u] >= 0
-                right = np.zeros((matrix.shape[1], n), np.float32)
-                right[slot[u[common]], d[common]] = x[common]
-                score = matrix @ right
-                d, u, x = d[~common], u[~common], x[~common]
-                size_u = q.at[u + 1] - q.at[u]
-                cell = q.seed[_ranges(q.at[u], size_u)] * n + np.repeat(d, size_u)
-                score += np.bincount(cell, np.repeat(x, size_u), minlength=s * n).reshape(s, n).astype(np.float32)
-                if begun is not None:
-                    begun.append((score, uids[lo : lo + n], tails[lo : lo + n]))
-                    seen += n
-                    if seen < 16 * most:
-                        continue
-                    score, uid, tail = (np.concatenate([x[k] for x in begun], int(k == 0)) for k in range(3))
-                    begun = None
-                    least = np.maximum(least, np.partition(score, seen - most, 1)[:, seen - most])
-                else:
-                    uid, tail = uids[lo : lo + n], tails[lo : lo + n]
-                own, j = np.divmod(np.flatnonzero((score >= least[:, None]).ravel()), score.shape[1])
-                held.append((own.astype(np.int32), uid[j], score[own, j], tail[j]))
-                n_held += len(own)
-                if n_held > 3 * s * most:
-                    held = [best()]
-                    n_held = len(held[0][0])
-        if begun:
-            score, uid, tail = (np.concatenate([x[k] for x in begun], int(k == 0)) for k in range(3))
-            own, j = np.divmod(np.flatnonzero((score >= least[:, None]).ravel()), score.shape[1])
-            held.append((own.astype(np.int32), uid[j], score[own, j], tail[j]))
+                begun[g].append((score, uids[lo:hi], tails[lo:hi]))
+                if sum(len(x[1]) for x in begun[g]) >= 16 * most:
+                    begin(g)
+            for g in range(groups):
+                if begun[g] and sum(len(x[1]) for x in begun[g]) >= most:
+                    begin(g)
+            if groups > 1:
+                for g, lo, hi, a, b in parts:
+                    seeds, score = outside(g, doc[a:b] - lo, v[a:b], weight[a:b], hi - lo)
+                    if len(seeds):
+                        hold(seeds, score, uids[lo:hi], tails[lo:hi])
+        for g in range(groups):
+            if begun[g]:
+                begin(g)
         if held:
             own, uid, score, tail = best()
             for a in range(0, len(own), 1 << 16):

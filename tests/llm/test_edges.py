@@ -266,6 +266,30 @@ def test_packing_equals_brute_force(spark):
     assert sorted(i for r in rows for i in r.doc_ids) == list(range(240))
 
 
+def test_packing_search_skips_other_groups_without_loss(spark, monkeypatch):
+    """Texts of two vocabularies and mixed ones: seeds form groups, bounds drop pairs of a piece and a seed of another, and no list changes."""
+    r = random.Random(3)
+    other = [w[::-1] for w in WORDS]
+    texts = []
+    for i in range(400):
+        words = [w for k in range(r.randrange(15, 90)) for w in (r.choice(WORDS), r.choice(WORDS) + str(r.randrange(60)))]
+        if i % 2:
+            swap = 1.0 if i % 10 else 0.5
+            words = [other[0] + w if r.random() < swap and w[-1:].isdigit() else r.choice(other) if r.random() < swap else w for w in words]
+        texts.append(" ".join(words))
+    ids = [20 * i + (i % 3) for i in range(400)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").coalesce(1)
+    pieces = packing.documents(docs).mapInArrow(packing._cut(2048, 20, 8), packing.PIECES).cache()
+    at = {x.uid: ids.index(x.doc_id) for x in pieces.collect()}
+    seeds = [k for k, i in enumerate(ids) if i % 20 == 0]
+    want = brute_lists(texts, seeds, 4)
+    made, plain = [], packing._grouped
+    monkeypatch.setattr(packing, "_grouped", lambda *a: made.append(plain(*a)) or made[-1])
+    got = {(at[x.seed], at[x.uid]): x.score for x in packing.neighbours(pieces, 4).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-2 for k in got)
+    assert len(made[0]) == 2
+
+
 def test_packing_long_document_whole(spark):
     text = prose(1, 1000)
     rows = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), window=300).collect()
