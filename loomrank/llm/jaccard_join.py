@@ -3,22 +3,18 @@
 Every document is the set of its word n-grams (all its words as one gram when it has fewer than n).  Equal sets are one;
 sets are linked that have a Jaccard index of at least ``threshold``, and linked sets form classes.
 
-1. Each set is sketched by the grams whose hash falls below 1/8 of the range (small sets keep all grams).  A gram
-   that only one distinct set holds can't add to any overlap, so sets of which too small a part of the sketch is
-   shared have no partner and leave here, before any pair is looked at.  A split of the input first finds the grams that
-   it shares within itself, so of a gram that very many sets hold each split sends one row.
-2. The rest meet by keys: a key is the minimum of a permutation of the shared sampled grams, for ``routes`` permutations,
-   and of all shared grams of small sets, for as many.  Keys of one set, and keys with the same sets as another, are
-   dropped.  The sets of a key are the leaves of a signature tree over second sketches (64 to 128 grams of a set, whatever
-   its size): inner nodes hold the OR of the token bitmaps and the range of the sizes, and a dual traversal drops node
-   pairs whose largest possible overlap is too small.  Sets that the leaf pairs connect are one group.
-3. The full sets of a group, sent once, are the leaves of another such tree, and leaf pairs that are left are verified
-   exactly.
+1. All grams of all distinct sets are dealt by hash, and their sets counted.  A gram that only one set holds can't add to
+   any overlap, so sets of which less than ``threshold`` is shared have no partner and leave here, before any pair is looked at.
+2. The rest meet by prefixes: of two sets with an index of at least t, at least one gram is common to the first
+   n - ceil(t n) + 1 of each, grams being in the order of how many sets hold them.  Grams with the same sets as another are
+   dropped.  Of the sets of a gram, pairs stay whose sizes and bitmaps (``BITS`` bits a set) allow an overlap large enough; sets
+   that such pairs connect are one group.
+3. The shared grams of the sets of a group, sent once, are the leaves of a signature tree: inner nodes hold the OR of the
+   token bitmaps and the range of the sizes, a dual traversal drops node pairs whose largest possible overlap is too small, and
+   leaf pairs that are left are verified exactly.
 
 Keys and groups of more than ``block`` sets are cut into blocks that meet pairwise, so no task holds more than two
-blocks.  Sketches and keys are the only approximate steps: bounds on sketches leave ``SLACK`` standard deviations, and a
-pair at Jaccard j is missed by the keys with about (1-j')**routes, j' >= j being the index over shared grams.  Every
-index that is given is exact.
+blocks.  No step is approximate: every pair that meets the threshold is found (but for collisions of 64-bit hashes).
 
 Nulls: a null id or a null, empty or wordless text takes no part.  Rows with the same id and set count once; an id with
 several sets has a row for each.  An empty table gives an empty result; other columns are not read.
@@ -26,22 +22,25 @@ several sets has a row for each.  An empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import discard, documents, id_filter, passes, small_batches, table, written
 from ._text import Words, blocks, mix, release
 
-N, THRESHOLD, ROUTES, BLOCK, FANOUT, SLACK = 5, 0.35, 12, 2048, 8, 3.0
-SAMPLED = 1 << 61
-KEEP_ALL = 128
-FLUSH = 1 << 21
+N, THRESHOLD, BLOCK, FANOUT = 5, 0.35, 2048, 8
+BITS = 2048
+FLUSH, SETS = 1 << 21, 4096
 TINY = 8
 
-SKETCH = "doc_id bigint, fp bigint, n int, m1 int, known array<bigint>, single array<bigint>, told array<bigint>"
-FULL = "doc_id bigint, fp bigint, n int, sketch binary, grams binary"
+DEALT = "bucket int, flush bigint, grams binary, sets binary"
+COUNTED = "flush bigint, grams binary, held binary, sets binary"
+LIVE = "fp bigint, n int, grams binary, held binary, bitmap binary"
 
 
 def gram_sets(texts, n: int) -> list[np.ndarray]:
@@ -73,124 +72,127 @@ def prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return size, mix(fp + size.astype(np.uint64)).view(np.int64)
 
 
-def _lists(flat: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
-    """A list for each of n rows; ``row`` is sorted."""
-    at = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
-
-
-def _sketched(n: int):
-    """Rows of ``SKETCH``: of the sketch ``known`` is shared within the split, ``single`` isn't, ``told`` stands for known grams."""
-
-    def flush(held):
-        ids, size, fp = (np.concatenate(c) if k else pa.concat_arrays(c) for k, c in enumerate(zip(*[h[:3] for h in held])))
-        sets = [s for h in held for s in h[3]]
-        m1 = np.array([np.searchsorted(s, np.uint64(SAMPLED)) for s in sets], np.int32)
-        first = np.zeros(len(fp), bool)
-        first[np.unique(fp, return_index=True)[1]] = True  # of equal sets one carries the grams
-        sets = [s[:0] if not f else s if len(s) <= KEEP_ALL else s[:m] for s, f, m in zip(sets, first, m1)]
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        g = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        _, at, inverse, count = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
-        shared = count[inverse] > 1
-        told = np.zeros(len(g), bool)
-        told[at[count > 1]] = True
-        lists = [_lists(g[k], row[k], len(sets)) for k in (shared, ~shared, told)]
-        out = pa.RecordBatch.from_arrays([ids, pa.array(fp), pa.array(size), pa.array(m1), *lists], ["doc_id", "fp", "n", "m1", "known", "single", "told"])
-        for a in range(0, out.num_rows, 4096):
-            part = out.slice(a, 4096)
-            yield part.filter(pa.array(size[a : a + 4096] > 0))
+def _printed(n: int):
+    def run(batches):
+        for batch in blocks(batches):
+            size, fp = prints(gram_sets(batch.column("text"), n))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"]).filter(pa.array(size > 0))
+
+    return run
+
+
+def _dealt(n: int, only):
+    """Rows of ``DEALT``: of up to ``SETS`` sets, a flush, the grams of a bucket: 12 bits of a gram are the bucket's, the other 52 stand before the set's number."""
+
+    def flush(held, at):
+        fp, size = (np.concatenate(c) for c in list(zip(*held))[:2])
+        sets = [x for h in held for x in h[2]]
+        first = np.sort(np.unique(fp, return_index=True)[1])
+        fp, size = fp[first], size[first]
+        g = np.concatenate([sets[k] for k in first])
+        row = np.repeat(np.arange(len(first), dtype=np.uint64), size)
+        order = np.argsort(g, kind="stable")
+        g, row = g[order], row[order]
+        cut = np.searchsorted(g >> np.uint64(52), np.arange(4097, dtype=np.uint64))
+        data = ((g << np.uint64(12)) | row).tobytes()
+        some = np.flatnonzero(np.diff(cut))
+        own = np.concatenate([fp, size.astype(np.int64)]).tobytes()
+        for a in range(0, len(some), 1024):
+            k = some[a : a + 1024]
+            columns = [pa.array(k.astype(np.int32)), pa.array(np.full(len(k), at)), pa.array([data[8 * cut[b] : 8 * cut[b + 1]] for b in k], pa.binary()), pa.array([own if b == some[0] else None for b in k], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "flush", "grams", "sets"])
 
     def run(batches):
-        held, grams = [], 0
+        held, grams, count, at = [], 0, 0, TaskContext.get().partitionId() << 32
         for batch in blocks(batches):
-            sets = gram_sets(batch.column("text"), n)
-            size, fp = prints(sets)
-            held.append((batch.column("doc_id"), size, fp, [s if len(s) <= KEEP_ALL else s[: np.searchsorted(s, np.uint64(SAMPLED))].copy() for s in sets]))
-            grams += sum(map(len, held[-1][3]))
-            if grams >= FLUSH:
-                yield from flush(held)
-                held, grams = [], 0
+            batch = batch.filter(pa.array(passes(only, batch.column("doc_id").to_numpy())))
+            for lo in range(0, batch.num_rows, 1024):
+                sets = [x for x in gram_sets(batch.column("text").slice(lo, 1024), n) if len(x)]
+                if not sets:
+                    continue
+                size, fp = prints(sets)
+                if held and count + len(sets) > SETS:
+                    yield from flush(held, at)
+                    held, grams, count, at = [], 0, 0, at + 1
+                held.append((fp, size, sets))
+                grams, count = grams + int(size.sum()), count + len(sets)
+                if grams >= FLUSH:
+                    yield from flush(held, at)
+                    held, grams, count, at = [], 0, 0, at + 1
         if held:
-            yield from flush(held)
+            yield from flush(held, at)
         release()
 
     return run
 
 
-def _known_elsewhere(batches):
-    """(fp, g) of the single rows (fp, g, told) whose gram another set of the whole corpus holds; batches hold all rows of their grams."""
-    parts = [(b.column("g").to_numpy(), b.column("fp").to_numpy(), b.column("told").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-    if not parts:
-        return
-    g, fp, told = (np.concatenate(c) for c in zip(*parts))
-    del parts
-    order = np.lexsort((fp, g))
-    g, fp, told = g[order], fp[order], told[order]
-    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    last = np.append(cut[1:], len(g)) - 1
-    many = (fp[cut] != fp[last]) | np.maximum.reduceat(told.astype(np.int8), cut).astype(bool)
-    keep = np.flatnonzero(np.repeat(many, last - cut + 1) & ~told)
-    for a in range(0, len(keep), 1 << 16):
-        k = keep[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(fp[k]), pa.array(g[k])], ["fp", "g"])
+def _counted(batches):
+    """Rows of ``COUNTED``: the grams of a flush that other sets hold too, before the number of the own set, and how many hold each."""
+    for group in _tasks(batches, "bucket"):
+        flush, blobs = group.column("flush").to_numpy(), group.column("grams").to_pylist()
+        size = np.array([len(x) // 8 for x in blobs])
+        data = np.frombuffer(b"".join(blobs), np.uint64)
+        del blobs
+        order = np.argsort(data >> np.uint64(12), kind="stable")
+        g = data[order] >> np.uint64(12)
+        cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        many = np.empty(len(data), np.uint32)
+        many[order] = np.repeat(np.diff(np.append(cut, len(g))), np.diff(np.append(cut, len(g))))
+        bucket = np.uint64(group.column("bucket")[0].as_py())
+        keep = many > 1
+        row = np.repeat(np.arange(len(size)), size)[keep]
+        edge = np.searchsorted(row, np.arange(len(size) + 1))
+        g, number, many = ((data[keep] >> np.uint64(12)) | (bucket << np.uint64(52))), (data[keep] & np.uint64(4095)).astype(np.uint32), many[keep]
+        held = (many.astype(np.uint64) << np.uint64(12)) | number
+        get = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())  # noqa: B023, E731
+        out = pa.RecordBatch.from_arrays([pa.array(flush), get(g), get(held), group.column("sets").combine_chunks()], ["flush", "grams", "held", "sets"])
+        for a in range(0, out.num_rows, 1024):
+            yield out.slice(a, 1024)
     release()
 
 
-def enough(shared: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
-    """Whether so many shared of m sampled grams leave a Jaccard index of t possible."""
-    return shared >= np.maximum(1, t * m - SLACK * np.sqrt(t * (1 - t) * m))
-
-
-def _keys(t: float, routes: int):
-    """(fp, key) of the sets (fp, n, m1, shared grams) that may have a partner."""
-
-    def minima(flat, row, salt):
-        cut = np.flatnonzero(np.diff(row, prepend=-1))
-        for k in range(routes):
-            tag = np.uint64((salt + k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            low = np.minimum.reduceat(mix(flat ^ tag), cut)
-            with np.errstate(over="ignore"):
-                yield row[cut], mix(low + tag).view(np.int64)
+def _live(t: float):
+    """Rows of ``LIVE`` for the sets of which others share enough, shared grams in the order of how many sets hold them."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp, n, m1 = (batch.column(c).to_numpy() for c in ("fp", "n", "m1"))
-            grams = batch.column("grams")
-            size = np.diff(np.asarray(grams.offsets))
-            g, row = np.asarray(grams.flatten()).view(np.uint64), np.repeat(np.arange(len(fp)), size)
-            sampled = g < np.uint64(SAMPLED)
-            small = (n <= KEEP_ALL) & (size >= t * n - 1e-9)
-            some = enough(np.bincount(row[sampled], minlength=len(fp)), m1, t) & (n >= t * KEEP_ALL)
-            for mask, salt in ((sampled & some[row], 1), (small[row], 1 + routes)):
-                if mask.any():
-                    for who, key in minima(g[mask], row[mask], salt):
-                        yield pa.RecordBatch.from_arrays([pa.array(fp[who]), pa.array(key)], ["fp", "key"])
+        for group in _tasks(batches, "flush"):
+            own = next(x for x in group.column("sets").to_pylist() if x is not None)
+            fp, n = np.frombuffer(own, np.int64).reshape(2, -1)
+            g, held = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint64) for c in ("grams", "held"))
+            row, held = (held & np.uint64(4095)).astype(np.int64), held >> np.uint64(12)
+            order = np.lexsort((g, held, row))
+            g, held = g[order], held[order]
+            edge = np.searchsorted(row[order], np.arange(len(n) + 1))
+            keep = np.flatnonzero(np.diff(edge) >= np.maximum(t * n - 1e-9, 1))
+            for lo in range(0, len(keep), 512):
+                k = keep[lo : lo + 512]
+                columns = [pa.array(fp[k]), pa.array(n[k].astype(np.int32))]
+                columns += [pa.array([x[edge[i] : edge[i + 1]].tobytes() for i in k], pa.binary()) for x in (g, held.astype(np.uint32))]
+                columns.append(pa.array([bitmap(g[edge[i] : edge[i + 1]]).tobytes() for i in k], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "n", "grams", "held", "bitmap"])
+        release()
 
     return run
 
 
-def level(n: np.ndarray) -> np.ndarray:
-    """The second sketch of a set of n grams holds those below 2**-level of the range: 64 to 128, or all up to 128."""
-    return np.where(n > KEEP_ALL, np.floor(np.log2(np.maximum(n // 64, 1))).astype(np.int64), 0)
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    out = np.zeros(BITS, bool)
+    out[((grams >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(out)
 
 
-def _full(n: int, only):
-    """Sets of the documents that ``only`` may hold: the second sketch as the hashes' upper 32 bits, and all grams."""
+def _keys(t: float):
+    """(fp, key): the shared grams of each set's prefix."""
 
     def run(batches):
-        for batch in blocks(batches):
-            batch = batch.filter(pa.array(passes(only, batch.column("doc_id").to_numpy())))
+        for batch in batches:
             if not batch.num_rows:
                 continue
-            sets = gram_sets(batch.column("text"), n)
-            size, fp = prints(sets)
-            sketch = [(s[: np.searchsorted(s, np.uint64(1 << 64 - int(v)))] if v else s) >> np.uint64(32) for s, v in zip(sets, level(size))]
-            sketch = pa.array([s.astype(np.uint32).tobytes() for s in sketch], pa.binary())
-            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), pa.array(size), sketch, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "fp", "n", "sketch", "grams"])
-            yield out.filter(pa.array(size > 0))
+            fp, n = (batch.column(c).to_numpy() for c in ("fp", "n"))
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("grams")]
+            most = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1 - (n - np.array([len(g) for g in sets]))  # grams of one set come first
+            sets = [g[: max(0, int(m))] for g, m in zip(sets, most)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, [len(g) for g in sets])), pa.array(np.concatenate(sets))], ["fp", "key"])
 
     return run
 
@@ -199,7 +201,7 @@ class Tree:
     """Levels from the root down; the last holds the sets.  Children of node i are i*FANOUT ... of the next level.
 
     A level has the bitmaps, the least number of grams here, what bitmaps may lack at most, the most grams here, and the
-    least and largest size of the whole sets, which sketches tell apart from the number of grams here.
+    least and largest size of the whole sets, which may have more grams than are here.
     """
 
     def __init__(self, sets: list[np.ndarray], bits: int, whole: np.ndarray):
@@ -216,13 +218,12 @@ class Tree:
             self.levels.insert(0, (np.bitwise_or.reduceat(b, cut), down(least, cut), up(lost, cut), up(count, cut), down(lo, cut), up(hi, cut)))
 
 
-def needed(total, t: float, slack: float):
-    """Least overlap of two sets of ``total`` grams together at Jaccard index t; of samples, less the slack."""
-    most = t / (1 + t) * total
-    return np.maximum(most - slack * np.sqrt(np.maximum(total, 0)) / 2, 1) if slack else most
+def needed(total, t: float):
+    """Least overlap of two sets of ``total`` grams together at Jaccard index t."""
+    return t / (1 + t) * total
 
 
-def _possible(x, y, i, j, t: float, slack: float) -> np.ndarray:
+def _possible(x, y, i, j, t: float) -> np.ndarray:
     """Which node pairs may hold a pair of sets with Jaccard index t: by size range, then by shared bits."""
     (bx, nx, cx, mx, lx, hx), (by, ny, cy, my, ly, hy) = x, y
     keep = np.flatnonzero((hx[i] >= t * ly[j] - 1e-9) & (hy[j] >= t * lx[i] - 1e-9))
@@ -231,11 +232,11 @@ def _possible(x, y, i, j, t: float, slack: float) -> np.ndarray:
         a, b = i[part], j[part]
         most = np.bitwise_count(bx[a] & by[b]).sum(1, dtype=np.int64) + np.minimum(cx[a], cy[b])
         most = np.minimum(most, np.minimum(mx[a], my[b]))
-        out.append(part[most >= needed(nx[a] + ny[b], t, slack) - 1e-9])
+        out.append(part[most >= needed(lx[a] + ly[b], t) - 1e-9])
     return np.concatenate(out)
 
 
-def _verified(x: list, y: list, i: np.ndarray, j: np.ndarray, t: float, slack: float):
+def _verified(x: list, y: list, i: np.ndarray, j: np.ndarray, t: float, wx: np.ndarray, wy: np.ndarray):
     """Exact overlap of the pairs that are left, as arrays of a piece each; i is sorted."""
     tokens = np.unique(np.concatenate(x + ([] if y is x else y)))
     ids = [np.searchsorted(tokens, s) for s in y]
@@ -249,21 +250,24 @@ def _verified(x: list, y: list, i: np.ndarray, j: np.ndarray, t: float, slack: f
             js = j[lo : min(b, lo + 1024)]
             size = sy[js]
             both = np.add.reduceat(flag[np.concatenate([ids[k] for k in js])], np.concatenate([[0], np.cumsum(size)[:-1]]))
-            total = len(own) + size
+            total = wx[i[a]] + wy[js]
             jac = both / np.maximum(total - both, 1)
-            ok = both >= needed(total, t, slack) - 1e-9 if slack else jac >= t
+            ok = jac >= t
             if ok.any():
                 yield np.full(ok.sum(), i[a]), js[ok], jac[ok]
         flag[own] = 0
 
 
-def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, t: float, whole=None, slack: float = 0.0):
-    """Arrays (i, j, index) of pieces of the pairs of two lists of sorted hash arrays, none empty, or of one with itself (i < j)."""
+def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, t: float, whole=None):
+    """Arrays (i, j, index) of pieces of the pairs of two lists of sorted hash arrays, none empty, or of one with itself (i < j).
+
+    ``whole``: the sizes of the sets, where the lists hold only grams that others share.
+    """
     wx, wy = whole or (np.array([len(s) for s in left]), np.array([len(s) for s in right or left]))
     if right is None and len(left) <= TINY:
         i, j = np.triu_indices(len(left), 1)
         if len(i):
-            yield from _verified(left, left, i, j, t, slack)
+            yield from _verified(left, left, i, j, t, wx, wx)
         return
     most = max(map(len, left + (right or [])), default=0)
     bits = min(1 << 14, max(256, 1 << int(4 * most).bit_length()))
@@ -272,7 +276,7 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, t: float,
     i, j = np.zeros(1, np.int32), np.zeros(1, np.int32)
     dx, dy = 0, 0
     while True:
-        keep = _possible(x.levels[dx], y.levels[dy], i, j, t, slack)
+        keep = _possible(x.levels[dx], y.levels[dy], i, j, t)
         i, j = i[keep], j[keep]
         if not len(i) or (dx == len(x.levels) - 1 and dy == len(y.levels) - 1):
             break
@@ -297,7 +301,7 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, t: float,
     order = np.lexsort((j, i))
     i, j = i[order], j[order]
     if len(i):
-        yield from _verified(left, left if right is None else right, i, j, t, slack)
+        yield from _verified(left, left if right is None else right, i, j, t, wx, wx if right is None else wy)
 
 
 def components(n: int, links) -> np.ndarray:
@@ -316,13 +320,13 @@ def components(n: int, links) -> np.ndarray:
     return label
 
 
-def _tasks(batches):
+def _tasks(batches, by: str = "task"):
     """Tables of one task each from batches sorted by task."""
     kept, at = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        task = batch.column("task").to_numpy()
+        task = batch.column(by).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(task)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if kept and task[a] != at:
@@ -337,11 +341,11 @@ def _tasks(batches):
 def _sides(group: pa.Table, column: str, kind):
     """Fingerprint, size, rows of the two sides by size (the right one None if the left meets itself) and the sets."""
     fp, size, part = (group.column(c).to_numpy() for c in ("fp", "n", "side"))
-    once = np.unique(fp, return_index=True)[1]  # a repeated row of a document
+    once = np.unique(fp, return_index=True)[1]  # a set that several flushes hold
     data = group.column(column).combine_chunks()
     order = once[np.lexsort((fp[once], size[once]))]
     x, y = order[part[order] == 0], order[part[order] == 1]
-    get = lambda k: np.frombuffer(data[int(k)].as_buffer(), kind).astype(np.uint64, copy=False)
+    get = lambda k: np.sort(np.frombuffer(data[int(k)].as_buffer(), kind)) if kind == np.uint64 else np.frombuffer(data[int(k)].as_buffer(), kind)
     return fp, size, x, None if group.column("same")[0].as_py() else y, get
 
 
@@ -359,7 +363,7 @@ def _joined(t: float):
                 a, b = fp[x[i]], fp[z[j]]
                 return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["fp_a", "fp_b", "jaccard"])
 
-            for piece in tree_join([get(k) for k in x], None if y is None else [get(k) for k in y], t):
+            for piece in tree_join([get(k) for k in x], None if y is None else [get(k) for k in y], t, (n[x], n[z])):
                 kept.append(piece)
                 held += len(piece[0])
                 if held >= 1 << 16:
@@ -373,47 +377,26 @@ def _joined(t: float):
 
 
 def _near(t: float):
-    """(fp, key): the sets of each task that pairs of similar sketches connect share a key."""
+    """(fp, key): the sets of each task that pairs connect whose sizes and bitmaps allow a Jaccard index of t share a key."""
 
     def run(batches):
         for group in _tasks(batches):
-            fp, n, x, y, get = _sides(group, "sketch", np.uint32)
+            fp, n, x, y, get = _sides(group, "bitmap", np.uint8)
             z = x if y is None else y
             if not len(x) or not len(z):
                 continue
-            at, links, held = level(n), [], 0
-
-            def fold():
-                """The links so far as a tree, which connects the same."""
-                nonlocal held
-                if links:
-                    top = components(len(fp), [tuple(np.concatenate(c) for c in zip(*links))])
-                    kept = np.flatnonzero(top != np.arange(len(fp)))
-                    links[:], held = [(kept, top[kept])], 0
-
-            def link(xs, zs, lo, itself=False):
-                nonlocal held
-                cut = np.uint64(1 << 32 - int(lo))
-                sets = [[s[: np.searchsorted(s, cut)] for s in map(get, side)] for side in ((xs,) if itself else (xs, zs))]
-                some = [np.array([k for k, s in enumerate(side) if len(s)], np.int64) for side in sets]
-                xs, zs = xs[some[0]], zs[some[-1]]
-                if not len(xs) or not len(zs):
-                    return
-                sets = [[side[k] for k in own] for side, own in zip(sets, some)]
-                for i, j, _ in tree_join(sets[0], None if itself else sets[1], t, (n[xs], n[zs]), SLACK if lo else 0.0):
-                    links.append((xs[i], zs[j]))
-                    held += len(i)
-                    if held >= 1 << 18:
-                        fold()
-
-            for lo in np.unique(np.concatenate([at[x], at[z]])):  # the coarser level of a pair
-                finer = lambda side: side[(at[side] < lo) & (at[side] >= lo - 2)]  # noqa: B023, E731
-                own_x, own_z = x[at[x] == lo], z[at[z] == lo]
-                link(own_x, own_z, lo, y is None)
-                link(own_x, finer(z), lo)
-                if y is not None:
-                    link(finer(x), own_z, lo)
-            fold()
+            bits = np.stack([get(k) for k in range(len(fp))]).view(np.uint64)
+            lost = group.column("shared").to_numpy() - np.bitwise_count(bits).sum(1, dtype=np.int64)
+            sizes, other, lost_z, links = n[z], bits[z], lost[z], []
+            for place, k in enumerate(x):
+                lo = max(np.searchsorted(sizes, t * n[k] - 1e-6), place + 1 if y is None else 0)
+                hi = np.searchsorted(sizes, n[k] / t + 1e-6, "right")
+                if lo >= hi:
+                    continue
+                most = np.bitwise_count(other[lo:hi] & bits[k]).sum(1, dtype=np.int64) + np.minimum(lost[k], lost_z[lo:hi])
+                near = z[lo + np.flatnonzero(most >= needed(n[k] + sizes[lo:hi], t) - 1e-6)]
+                if len(near):
+                    links.append((np.full(len(near), k), near))
             tops = components(len(fp), links)
             keep = np.flatnonzero(np.bincount(tops, minlength=len(fp))[tops] > 1)
             task = group.column("task")[0].as_py()
@@ -437,6 +420,12 @@ def _by_task(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("task", "side", "same", "fp", "n", *columns).repartition("task").sortWithinPartitions("task")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are written and gone, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected(met: DataFrame) -> DataFrame:
     """(fp, root) of rows (fp, key): root is the least fp that shared keys connect it to."""
     label, old = met.select("fp", F.col("fp").alias("root")).distinct(), None
@@ -453,38 +442,39 @@ def connected(met: DataFrame) -> DataFrame:
             return label
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, routes: int = ROUTES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of all documents with words, and (fp_a < fp_b, jaccard) of the similar pairs of distinct sets."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = documents(docs).filter("doc_id is not null and text is not null")
-    sketch = written(docs.mapInArrow(_sketched(n), SKETCH), "jaccard-sketch")
-    members = written(sketch.select("doc_id", "fp").distinct(), "jaccard-members")
-
-    rows = sketch.select("fp", F.explode("single").alias("g"), F.lit(False).alias("told"))
-    rows = rows.unionByName(sketch.select("fp", F.explode("told").alias("g"), F.lit(True).alias("told")))
-    elsewhere = rows.repartition("g").mapInArrow(_known_elsewhere, "fp bigint, g bigint")
-    none = F.lit(None).cast("int")
-    per = sketch.select("fp", "n", "m1", F.explode_outer("known").alias("g")).unionByName(elsewhere.select("fp", none.alias("n"), none.alias("m1"), "g"))
-    per = per.groupBy("fp").agg(F.max("n").alias("n"), F.max("m1").alias("m1"), F.collect_set("g").alias("grams"))
-    keys = written(per.filter(F.size("grams") > 0).mapInArrow(_keys(threshold, routes), "fp bigint, key bigint"), "jaccard-keys")
-    discard(sketch)
+    members = written(docs.mapInArrow(_printed(n), "doc_id bigint, fp bigint").distinct(), "jaccard-members")
+    reader = members.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+
+    dealt = docs.mapInArrow(_dealt(n, id_filter(reader, "doc_id")), DEALT)
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, COUNTED)
+    live = counted.repartition("flush").sortWithinPartitions("flush").mapInArrow(_live(threshold), LIVE)
+    live = written(live, "jaccard-live")
+    del dealt, counted
+    drop_shuffles(spark)
+    keys = written(live.mapInArrow(_keys(threshold), "fp bigint, key bigint").distinct(), "jaccard-keys")
     who = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"w{k}") for k in range(2)]
     groups = keys.groupBy("key").agg(F.count("*").alias("size"), *who).filter("size > 1")
     groups = groups.groupBy("size", "w0", "w1").agg(F.min("key").alias("key"))
     meets = written(keys.join(groups.select("key", "size"), "key"), "jaccard-meets")
+    del groups
+    discard(keys)
+    drop_shuffles(spark)
 
-    reader = members.join(meets.select("fp").distinct(), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    reader = written(reader, "jaccard-readers")
-    full = written(docs.mapInArrow(_full(n, id_filter(reader, "doc_id")), FULL), "jaccard-sets")
-    met = _by_task(_in_blocks(meets, block).join(reader, "fp").join(full.select("fp", "doc_id", "n", "sketch"), ["fp", "doc_id"]), "sketch")
+    maps = live.select("fp", "n", "bitmap", (F.octet_length("grams") / 8).cast("int").alias("shared"))
+    met = _by_task(_in_blocks(meets, block).join(maps, "fp"), "bitmap", "shared")
     met = written(met.mapInArrow(_near(threshold), "fp bigint, key bigint").distinct(), "jaccard-met")
-    discard(keys, meets)
+    discard(meets)
+    drop_shuffles(spark)
     root = connected(met)
     sized = root.withColumnRenamed("root", "key").join(root.groupBy(F.col("root").alias("key")).agg(F.count("*").alias("size")), "key")
-    routed = _in_blocks(sized, block).join(reader, "fp").join(full.select("fp", "doc_id", "n", "grams"), ["fp", "doc_id"])
+    routed = _in_blocks(sized, block).join(live.select("fp", "n", "grams"), "fp")
     pairs = written(_by_task(routed, "grams").mapInArrow(_joined(threshold), "fp_a bigint, fp_b bigint, jaccard double"), "jaccard-pairs")
-    discard(full, met, reader)
+    discard(live, met)
     return members, pairs
 
 

@@ -189,6 +189,26 @@ def test_jaccard_recall(spark):
     assert rows == {k: (s, label[s], sum(s in pair for pair in got)) for k, s in sets.items()}
 
 
+def near_threshold() -> list[str]:
+    """Copies with so many words changed that about half of the pairs still meet the threshold, of texts of many lengths."""
+    r = random.Random(21)
+    texts = []
+    for g in range(250):
+        base = prose(20000 + g, r.choice((12, 40, 130, 300, 900))).split()
+        texts += [" ".join(w if r.random() > 0.065 else r.choice(WORDS) for w in base) for _ in range(3)]
+    return texts
+
+
+def test_jaccard_loses_no_link(spark):
+    """Every link of pairs near the threshold is there, with its exact index, whatever the blocks."""
+    texts = near_threshold()
+    want, _ = brute_links(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for block in (2048, 60):
+        got = {(x.set_a, x.set_b): round(x.jaccard, 9) for x in jaccard_join.jaccard_links(docs, block=block).collect()}
+        assert got == want and 200 < len(want) < 700
+
+
 def test_jaccard_short_texts_of_shared_passages(spark):
     """Short texts made of passages that many texts share: no set size is missed."""
     r = random.Random(9)
