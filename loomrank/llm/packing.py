@@ -13,7 +13,8 @@ matrix product, the others by the inverted lists; it is scored for a seed of ano
 from the greatest weight of each word among the pieces at hand, shows that it can't be one of the seed's best.
 
 Filling.  In turns each unused piece goes to the seed that scores it best, of those it still fits (ties: the earlier
-seed), and each seed takes what it gets in order of score as long as it fits, until no seed can take any more.  What no
+seed), and each seed takes what it gets in order of score as long as it fits, until no seed can take any more.  Up to ``FEW``
+neighbours one task takes all turns in memory; more are joined and written turn by turn, with the same result.  What no
 seed took is packed in the order of a lexical key, the least hash among a piece's words of ``LONG`` letters or more (of all if it
 has none), so that copies and documents with passages in common tend to meet: each into the first of ``OPEN`` windows that it fits.
 
@@ -35,12 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, documents, small_batches, table, written
+from ._shared import FEW, discard, documents, small_batches, table, written
 from ._text import Words, blocks, mix, release
 
 WINDOW, LONG, SEED_EVERY, NEIGHBOURS, SEEDS, OPEN = 2048, 8, 20, 32, 8192, 32
 K1, B = 1.2, 0.75
-DENSE, TOGETHER = 0.003, 64
+DENSE, TOGETHER, CELLS = 0.003, 64, 1 << 21
 GROUPS, ALIKE, KINDS = 8, 0.5, 256
 PIECES = "uid bigint, doc_id bigint, seed boolean, key bigint, n_words int, tail int, cuts array<int>, terms binary"
 WINDOWS = "kind string, seed bigint, doc_ids array<bigint>, starts array<int>, ends array<int>, words array<int>, scores array<double>, n_words int"
@@ -243,7 +244,7 @@ def _search(queries, mean: float, most: int):
             i, j = np.divmod(np.flatnonzero((score >= bound[:, None]).ravel()), score.shape[1])
             held.append((seeds[i].astype(np.int32), uid[j], score[i, j], tail[j]))
             n_held += len(i)
-            if n_held > 3 * s * most:
+            if n_held > 2 * s * most:
                 held = [best()]
                 n_held = len(held[0][0])
 
@@ -289,12 +290,16 @@ def _search(queries, mean: float, most: int):
             row[u] = np.arange(len(u))
             right = np.zeros((len(u), n), np.float32)
             right[row[v], d] = x
-            size = q.first[seeds + 1] - q.first[seeds]
-            at = row[q.words[_ranges(q.first[seeds], size)]]
+            score = np.empty((len(seeds), n), np.float32)
+            step = max(1, CELLS // len(u))  # before bounds are set these may be all seeds
+            for a in range(0, len(seeds), step):
+                own = seeds[a : a + step]
+                size = q.first[own + 1] - q.first[own]
+                at = row[q.words[_ranges(q.first[own], size)]]
+                matrix = np.zeros((len(own), len(u)), np.float32)
+                matrix[np.repeat(np.arange(len(own)), size)[at >= 0], at[at >= 0]] = 1
+                score[a : a + step] = matrix @ right
             row[u] = -1
-            matrix = np.zeros((len(seeds), len(u)), np.float32)
-            matrix[np.repeat(np.arange(len(seeds)), size)[at >= 0], at[at >= 0]] = 1
-            score = matrix @ right
             return seeds, score
 
         for batch in batches:
@@ -330,7 +335,7 @@ def _search(queries, mean: float, most: int):
                     hold(np.arange(q.edge[g], q.edge[g + 1]), score, uids[lo:hi], tails[lo:hi])
                     continue
                 begun[g].append((score, uids[lo:hi], tails[lo:hi]))
-                if sum(len(x[1]) for x in begun[g]) >= 16 * most:
+                if sum(len(x[1]) for x in begun[g]) >= 4 * most:
                     begin(g)
             for g in range(groups):
                 if begun[g] and sum(len(x[1]) for x in begun[g]) >= most:
@@ -401,9 +406,35 @@ def _fill(batches):
         yield batch.select(["seed", "uid", "score", "tail"]).filter(pa.array(keep, pa.bool_()))
 
 
-def assigned(lists: DataFrame, rooms: DataFrame) -> DataFrame:
+def _fill_all(batches):
+    """All turns over rows (seed, uid, score, tail, room), which must be all that there are."""
+    parts = [[b.column(c).to_numpy() for c in ("seed", "uid", "score", "tail", "room")] for b in batches if b.num_rows]
+    if not parts:
+        return
+    seed, uid, score, tail, room = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    names, at, seed = np.unique(seed, return_index=True, return_inverse=True)
+    room = room[at].astype(np.int64)
+    live = np.lexsort((seed, -score, uid))  # the first row of a piece, of those left, has the seed that it goes to
+    while len(live):
+        won = live[np.flatnonzero(np.diff(uid[live], prepend=uid[live[0]] - 1))]
+        won = won[np.lexsort((uid[won], -score[won], seed[won]))]
+        keep = []
+        for k, s, n in zip(won.tolist(), seed[won].tolist(), tail[won].tolist()):
+            if n <= room[s]:
+                room[s] -= n
+                keep.append(k)
+        keep = np.array(keep, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[seed[keep]]), pa.array(uid[keep]), pa.array(score[keep]), pa.array(tail[keep])], ["seed", "uid", "score", "tail"])
+        live = live[~np.isin(uid[live], uid[keep]) & (tail[live] <= room[seed[live]])]
+    release()
+
+
+def assigned(lists: DataFrame, rooms: DataFrame, few: int = FEW) -> DataFrame:
     """(seed, uid, score, tail) of the pieces that seeds take, from the lists and (seed, room); see the module's text."""
     live, taken = lists.join(rooms, "seed").filter("tail <= room"), []
+    if lists.count() <= few:
+        return live.select("seed", "uid", "score", "tail", "room").repartition(1).mapInArrow(_fill_all, "seed bigint, uid bigint, score double, tail int")
     last = None
     while True:
         live = written(live, "pack-live")

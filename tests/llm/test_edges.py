@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -286,6 +287,50 @@ def test_packing_equals_brute_force(spark):
     assert sorted(i for r in rows for i in r.doc_ids) == list(range(240))
 
 
+def test_packing_search_memory_is_bounded_before_bounds_are_set(monkeypatch):
+    """Long pieces are scored for all seeds of another group, in parts of a fixed size, with the same result as at once."""
+    r = np.random.default_rng(1)
+    n_seeds, vocabulary = 2000, 30_000
+    own = [np.arange(100), np.arange(100, 200)]  # words that all texts of a group have
+    words = [np.concatenate([own[k % 2], 200 + r.choice(vocabulary, 60, False)]).astype(np.uint64) for k in range(n_seeds)]
+    df = np.where(np.arange(200 + vocabulary) < 200, 1000, 20)
+    term = np.concatenate(words)
+    q = packing.Queries(np.repeat(np.arange(n_seeds), 160), term, df[term], 2000)
+    assert len(q.centre) == 2
+    texts = [np.sort(np.concatenate([own[k % 2], 200 + r.choice(vocabulary, 1500, False)])).astype(np.uint64) for k in range(120)]
+    terms = pa.array([((t << np.uint64(11)) | np.uint64(1)).tobytes() for t in texts], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000, 5120)), pa.array(np.full(120, 1600, np.int32)), terms], ["uid", "tail", "terms"])
+    run = packing._search(type("Held", (), {"value": q}), 1600.0, 150)
+
+    def found():
+        tracemalloc.start()
+        rows = sorted(x for b in run(iter([batch])) for x in zip(*(b.column(c).to_pylist() for c in ("seed", "uid"))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, peak
+
+    rows, peak = found()
+    monkeypatch.setattr(packing, "CELLS", 1 << 40, raising=False)
+    at_once, more = found()
+    assert rows == at_once and len(rows) > n_seeds * 60 and more - peak > 50e6
+
+
+def test_packing_fills_small_lists_without_tables_for_turns(spark, monkeypatch):
+    """Each file that an executor writes takes a process and memory: small lists are filled in one task, with the result of many turns."""
+    r = random.Random(5)
+    size = [r.randrange(1, 60) for _ in range(300)]
+    pairs = [(20 * s, 1000 + u, r.randrange(1, 40) / 4, size[u]) for s in range(40) for u in r.sample(range(300), 32)]  # many ties
+    lists = spark.createDataFrame(pairs, "seed bigint, uid bigint, score double, tail int").repartition(3)
+    rooms = spark.createDataFrame([(20 * s, r.randrange(1, 250)) for s in range(40)], "seed bigint, room int")
+    names, plain = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: names.append(name) or plain(df, name))
+    got = sorted(map(tuple, packing.assigned(lists, rooms).collect()))
+    assert not names
+    assert got == sorted(map(tuple, packing.assigned(lists, rooms, few=len(pairs) - 1).collect())) and names.count("pack-taken") > 2
+    room = dict(map(tuple, rooms.collect()))
+    assert all(sum(x[3] for x in got if x[0] == s) <= room[s] for s in room) and len({x[1] for x in got}) == len(got) > 100
+
+
 def test_packing_search_skips_other_groups_without_loss(spark, monkeypatch):
     """Texts of two vocabularies and mixed ones: seeds form groups, bounds drop pairs of a piece and a seed of another, and no list changes."""
     r = random.Random(3)
