@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +89,13 @@ def detect_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 20, see
     kind = dict(nodes.dtypes)["node"]
 
     def run(key, left, right):
-        names = sorted(left.column("node").to_pylist())
-        at = {n: i for i, n in enumerate(names)}
-        near: list[list[tuple[int, float]]] = [[] for _ in names]
-        for a, b, w in sorted(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), right.column("w").to_pylist())):
-            near[at[a]].append((at[b], w))
-            near[at[b]].append((at[a], w))
+        names = left.column("node").combine_chunks()
+        names = names.take(pc.sort_indices(names))
+        place = lambda c: pc.index_in(right.column(c).combine_chunks(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int32)
+        a, b, w = place("a"), place("b"), right.column("w").to_numpy().astype(np.float32)
+        a, b, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+        rows = np.lexsort((w, b, a))
+        near, w, ends = b[rows], w[rows], np.searchsorted(a[rows], np.arange(len(names) + 1)).tolist()
         label, order, state, mask = list(range(len(names))), list(range(len(names))), seed, (1 << 64) - 1
         for _ in range(rounds):
             for i in range(len(order) - 1, 0, -1):
@@ -105,10 +107,10 @@ def detect_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 20, see
                 order[i], order[j] = order[j], order[i]
             changed = False
             for v in order:
-                if near[v]:
+                if ends[v] < ends[v + 1]:
                     heard: dict[int, np.float32] = {}
-                    for u, w in near[v]:
-                        heard[label[u]] = heard.get(label[u], np.float32(0)) + np.float32(w)
+                    for u, x in zip(near[ends[v] : ends[v + 1]].tolist(), w[ends[v] : ends[v + 1]]):
+                        heard[label[u]] = heard[label[u]] + x if label[u] in heard else x
                     new = min(heard, key=lambda c: (-heard[c], c))
                     changed |= new != label[v]
                     label[v] = new
@@ -116,7 +118,7 @@ def detect_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 20, see
                 break
         first: dict[int, int] = {}
         community = [first.setdefault(c, len(first)) for c in label]
-        return pa.table({"node": pa.array(names, left.schema.field("node").type), "community": pa.array(community, pa.int64())})
+        return pa.table({"node": names, "community": pa.array(community, pa.int64())})
 
     return nodes.select("node", F.lit(0).alias("g")).groupBy("g").cogroup(edges.withColumn("g", F.lit(0)).groupBy("g")).applyInArrow(run, f"node {kind}, community bigint")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomrank.functions import text as T
 from loomrank.operators import entity, graph, retrieve, vector
 from loomrank.plans.base import CORPUS, ITEMS, QUESTIONS, corpus, cos, items, query, questions, table, top
+from loomrank.sources.shared import written
 
 NEAR, FLOOR = 12, 0.25
 
@@ -20,10 +21,15 @@ def _knn(spark, d):
     return vector.neighbours(items(spark, d), NEAR, FLOOR)
 
 
-def _edges(spark, d):
+def _assembled(spark, d):
     return graph.undirected(_knn(spark, d).withColumnRenamed("sim", "w"))
 
 
+def _edges(spark, d):
+    """The graph's edges, found once however often a plan reads them."""
+    return written(_assembled(spark, d), "graph-edges")
+
+
 def _nodes(spark, d):
     return items(spark, d).select(F.col("id").alias("node"))
 
@@ -35,7 +41,7 @@ def knn_edges(spark, d):
 
 @query(f"WITH {EDGES_SQL} SELECT * FROM edges")
 def graph_edges(spark, d):
-    return _edges(spark, d)
+    return _assembled(spark, d)
 
 
 @query(f"""WITH {EDGES_SQL}, g AS (SELECT src, count(*) AS degree, round(sum(w), 6) AS weight FROM both_ GROUP BY src)
@@ -101,8 +107,8 @@ l{k + 1} AS (SELECT l.node, coalesce(t.label, l.label) AS label FROM l{k} l LEFT
     return "WITH " + ",\n".join(steps)
 
 
-def _lpa(spark, d):
-    return graph.propagate_labels(_edges(spark, d), _nodes(spark, d), rounds=ROUNDS)
+def _lpa(spark, d, edges=None):
+    return graph.propagate_labels(_edges(spark, d) if edges is None else edges, _nodes(spark, d), rounds=ROUNDS)
 
 
 @query(_lpa_sql(ROUNDS) + f" SELECT node, label FROM l{ROUNDS}")
@@ -127,7 +133,8 @@ def community_members(spark, d):
 p AS (SELECT cs, sum(CASE WHEN cs = cd THEN w ELSE 0 END) AS inside, sum(w) AS all_ FROM e GROUP BY cs)
 SELECT round(CASE WHEN sum(all_) > 0 THEN sum(inside) / sum(all_) - sum(all_ * all_) / (sum(all_) * sum(all_)) ELSE 0 END, 6) AS modularity FROM p""")
 def modularity(spark, d):
-    return graph.modularity(_edges(spark, d), communities(spark, d))
+    edges = _edges(spark, d)
+    return graph.modularity(edges, graph.compacted(_lpa(spark, d, edges)))
 
 
 @query()
