@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrank.functions.text import fields
+from loomrank.sources.shared import small_batches
 
 TARGET, OVERLAP = 120, 24
 _BREAKS = ("\n\n", "\n", ". ", " ")
 _SHORT = frozenset("al co dr e.g etc fig i.e inc jr ltd mr mrs ms no prof sr st vs".split())
+_LETTERS = string.ascii_letters + "."
+_IS_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 CHUNK = "chunk_id string, doc_id bigint, pos int, text string, start int, end int, headings array<string>"
 
 
@@ -76,7 +81,8 @@ def sentences(text: str) -> list[str]:
     out, start = [], 0
     for m in re.finditer(r"[.!?](?=\s|$)", text):
         if m.group() == ".":
-            word = re.search(r"[A-Za-z.]*$", text[max(0, m.start() - 64) : m.start()]).group()
+            left = text[max(0, m.start() - 64) : m.start()].removesuffix("\n")
+            word = left[len(left.rstrip(_LETTERS)) :]
             if word.rstrip(".").lower() in _SHORT:
                 continue
             after = text[m.end() :].lstrip()[:1] if len(text) - m.end() < 256 else (text[m.end() : m.end() + 256].lstrip() or text[m.end() :].lstrip())[:1]
@@ -146,27 +152,43 @@ def markdown_pieces(text: str, target: int = TARGET, overlap: int = OVERLAP):
     return out
 
 
+class Places:
+    """Where pieces stand in a text, white space aside: one pass over the text, then a search a piece without it."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.at = np.flatnonzero(~_IS_SPACE[np.minimum(codes, len(_IS_SPACE) - 1)]).astype(np.int32)
+        self.dense = "".join(text.split())
+
+    def located(self, piece: str, start: int) -> tuple[int, int]:
+        """From ``start`` on; (-1, -1) if nowhere.  Long pieces begin with eight words that are words of the text too."""
+        words = piece.split()
+        if not words:
+            return -1, -1
+        whole, head = "".join(words), words[:2] if len(piece) < 200 else words[:8]
+        first = "".join(head)
+        k = self.dense.find(first, int(np.searchsorted(self.at, max(0, start))))
+        while k >= 0:
+            if len(piece) >= 200 and not self._words(k, head):
+                k = self.dense.find(first, k + 1)
+            elif self.dense.startswith(whole, k):
+                return int(self.at[k]), int(self.at[k + len(whole) - 1]) + 1
+            else:
+                k = self.dense.find(first, k + len(first))
+        return -1, -1
+
+    def _words(self, k: int, head: list[str]) -> bool:
+        """Whether white space stands between these words from the k-th character on, and nowhere in them."""
+        for n, w in enumerate(head):
+            if self.at[k + len(w) - 1] - self.at[k] != len(w) - 1 or (n and self.at[k] == self.at[k - 1] + 1):
+                return False
+            k += len(w)
+        return True
+
+
 def located(text: str, piece: str, start: int) -> tuple[int, int]:
     """Where a piece stands in its text from ``start`` on, white space aside; (-1, -1) if nowhere."""
-    words = piece.split()
-    if not words:
-        return -1, -1
-    at = re.compile(r"\s*".join(re.escape(c) for c in "".join(words[:2]))) if len(piece) < 200 else re.compile(r"\s+".join(map(re.escape, words[:8])))
-    for m in at.finditer(text, max(0, start)):
-        i = m.start()
-        for w in words:
-            for c in w:
-                while i < len(text) and text[i].isspace():
-                    i += 1
-                if i >= len(text) or text[i] != c:
-                    break
-                i += 1
-            else:
-                continue
-            break
-        else:
-            return m.start(), i
-    return -1, -1
+    return Places(text).located(piece, start)
 
 
 STRATEGIES: dict[str, Callable] = {
@@ -183,15 +205,16 @@ def chunks(docs: DataFrame, strategy: str | Callable = "recursive", target: int
     the characters of the piece in the document.
     """
     target, overlap = bounds(target, overlap)
+    small_batches(docs.sparkSession)
     split = strategy if callable(strategy) else STRATEGIES.get(strategy, recursive_pieces)
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                cursor = 0
+                cursor, places = 0, Places(text or "")
                 for pos, (piece, heads) in enumerate(split(text or "", target, overlap)):
-                    a, b = located(text, piece, cursor)
+                    a, b = places.located(piece, cursor)
                     cursor = max(cursor, a)
                     rows.append((f"{doc_id}#{pos}", doc_id, pos, " > ".join(heads) + "\n" + piece if heads else piece, a, b, list(heads)))
             if rows:
