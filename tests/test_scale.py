@@ -1,13 +1,17 @@
 """Operators against brute force over several blocks, odd rows, and plans that don't grow faster than the input."""
 
 import contextlib
+import hashlib
 import io
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomrank.operators import graph, vector
+from loomrank.functions import embed
+from loomrank.operators import chunking, graph, vector
 from loomrank.plans import graphs
 
 
@@ -109,3 +113,58 @@ def plain_labels(rows, n, rounds=20, state=0):
             break
     first = {}
     return {(v, first.setdefault(c, len(first))) for v, c in enumerate(label)}
+
+
+def test_hashed_words_are_added_in_place(spark):
+    """Rows that share an id are one text; rows without words leave; no shuffle of words."""
+    rows = [(1, "Amber basin, amber"), (2, None), (1, "CEDAR 7 amber"), (3, " ,; "), (4, "x"), (None, "delta")]
+    df = embed.hashed(spark.createDataFrame(rows, "doc_id int, text string"), 8)
+    want = {}
+    for n, text in rows:
+        for w in re.findall(r"[a-z0-9]+", (text or "").lower()):
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            want.setdefault(n, np.zeros(8))[h % 8] += -1 if h >= 1 << 31 else 1
+    got = {r.doc_id: r.vector for r in df.collect()}
+    assert set(got) == {n for n, v in want.items() if v.any()}
+    assert all(np.allclose(v, want[n] / np.linalg.norm(want[n])) for n, v in got.items())
+    assert "Generate explode" not in plan(df) and "MapInArrow" in plan(df)
+
+
+def plainly_located(text, piece, start):
+    """By regular expressions and character by character, as it was first written."""
+    words = piece.split()
+    if not words:
+        return -1, -1
+    at = re.compile(r"\s*".join(re.escape(c) for c in "".join(words[:2]))) if len(piece) < 200 else re.compile(r"\s+".join(map(re.escape, words[:8])))
+    for m in at.finditer(text, max(0, start)):
+        i = m.start()
+        for c in "".join(words):
+            while i < len(text) and text[i].isspace():
+                i += 1
+            if i >= len(text) or text[i] != c:
+                break
+            i += 1
+        else:
+            return m.start(), i
+    return -1, -1
+
+
+def test_pieces_are_located_as_by_patterns():
+    r = random.Random(2)
+    for n in range(300):
+        text = "".join(r.choice(["a", "ab", "b ", "a\n", " ", "\u3000", "\x85", "Mr. ", "e.g. ", "x. ", "A", "1! "]) for _ in range(r.randrange(900)))
+        for split in chunking.STRATEGIES.values():
+            places, cursor = chunking.Places(text), 0
+            for piece, _ in split(text, 12, 3):
+                got = places.located(piece, cursor)
+                assert got == plainly_located(text, piece, cursor)
+                cursor = max(cursor, got[0])
+            assert places.located(text[5:400] + "c", 0) == plainly_located(text, text[5:400] + "c", 0)
+
+
+def test_locating_compiles_no_pattern(monkeypatch):
+    """A pattern a piece was most of the time."""
+    text = " ".join(f"word{n}" for n in range(4000))
+    places = chunking.Places(text)
+    monkeypatch.setattr(re, "compile", None)
+    assert [places.located(p, 0) for p, _ in chunking.recursive_pieces(text)][1] == (text.index("word96 "), text.index(" word216"))
