@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrank.functions import embed
-from loomrank.operators import chunking, graph, vector
+from loomrank.operators import chunking, graph, lexical, vector
 from loomrank.plans import graphs
 
 
@@ -168,3 +168,21 @@ def test_locating_compiles_no_pattern(monkeypatch):
     places = chunking.Places(text)
     monkeypatch.setattr(re, "compile", None)
     assert [places.located(p, 0) for p, _ in chunking.recursive_pieces(text)][1] == (text.index("word96 "), text.index(" word216"))
+
+
+def test_bm25_without_postings_equals_the_joins(spark, monkeypatch):
+    """Scores are made where the texts are read; repeated ids still go through the joins."""
+    r = random.Random(7)
+    words = [f"w{n}" for n in range(60)]
+    rows = [(n, " ".join(r.choices(words, k=r.randrange(40))) if n % 50 else None) for n in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    queries = spark.createDataFrame([(q, " ".join(r.choices(words, k=6))) for q in range(20)] + [(3, "w1 w2"), (30, ""), (31, "none")], "qid int, query string")
+    df = lexical.bm25(docs, queries, 7)
+    got = {(a.qid, a.doc_id, round(a.score, 5), a.rank) for a in df.collect()}
+    assert "MapInArrow" in plan(df) and "Join" not in plan(df)
+    twice = lexical.bm25(docs.union(docs), queries, 7)
+    assert "MapInArrow" not in plan(twice)
+    monkeypatch.setattr(lexical, "MOST_TERMS", 0)
+    assert got == {(a.qid, a.doc_id, round(a.score, 5), a.rank) for a in lexical.bm25(docs, queries, 7).collect()} and len(got) == 140
+    monkeypatch.undo()
+    assert lexical.bm25(docs.limit(0), queries, 7).count() == 0
