@@ -49,10 +49,17 @@ def cleaned(lines: DataFrame) -> DataFrame:
 
 
 def merged(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``merged_with_counts`` without the number of chunks."""
+    entities, relations = merged_with_counts(lines)
+    return entities.drop("n_chunks"), relations
+
+
+def merged_with_counts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities (name, display, type, description, chunks, mentions) and relations (source < target, description, weight) of cleaned lines.
 
     Order within a chunk is the lines', between chunks that of their ids; first spellings, types and relation
     descriptions stay; distinct descriptions are joined.  A relation's end counts as a mention where its chunk has no other.
+    Entities also have the number of their chunks, n_chunks: plans that don't read ``chunks`` make no lists of them.
     """
     norm = lambda c: F.lower(F.trim(c))
     ents = lines.filter("kind = 'entity'").select("chunk_id", F.col("ord").cast("bigint").alias("ord"), norm(F.col("a")).alias("name"), F.trim("a").alias("display"), F.trim("b").alias("type"), F.trim("description").alias("d"), F.lit(1).alias("listed")).filter("name <> ''")
@@ -61,14 +68,17 @@ def merged(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = ends.select("chunk_id", F.col("e.o").cast("bigint").alias("ord"), F.col("e.n").alias("name"), F.col("e.x").alias("display"), F.lit("").alias("type"), F.lit("").alias("d"), F.lit(0).alias("listed"))
     rows = ents.unionByName(ends)
     per_chunk = rows.groupBy("name", "chunk_id").agg(F.greatest(F.sum("listed"), F.lit(1)).alias("m"))
-    counts = per_chunk.groupBy("name").agg(F.sum("m").cast("bigint").alias("mentions"), F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
+    counts = per_chunk.groupBy("name").agg(F.sum("m").cast("bigint").alias("mentions"), F.count("*").alias("n_chunks"), F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
     first = F.struct("chunk_id", "ord")
     text = rows.groupBy("name").agg(
         F.min_by("display", first).alias("display"),
         F.coalesce(F.min_by("type", F.when(F.col("type") != "", first)), F.lit("")).alias("type"),
-        F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("d") != "", F.struct("chunk_id", "ord", "d")))), lambda s: s["d"])), " ").alias("description"),
     )
-    entities = counts.join(text, "name").select("name", "display", "type", "description", "chunks", "mentions")
+    # the first place of each description, before any are listed: a name has as many as it has different ones
+    said = rows.filter("d <> ''").groupBy("name", "d").agg(F.min(first).alias("at"))
+    said = said.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "d"))), lambda s: s["d"]), " ").alias("description"))
+    entities = counts.join(text, "name").join(said, "name", "left")
+    entities = entities.select("name", "display", "type", F.coalesce("description", F.lit("")).alias("description"), "chunks", "mentions", "n_chunks")
     relations = rels.groupBy(F.least("s", "t").alias("source"), F.greatest("s", "t").alias("target")).agg(
         F.coalesce(F.min_by("d", F.when(F.col("d") != "", first)), F.lit("")).alias("description"), F.count("*").alias("weight")
     )

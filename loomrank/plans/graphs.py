@@ -170,8 +170,8 @@ def ent_parse(spark, d):
 @query(f"""WITH {LINES_SQL}, m AS (SELECT a AS name, chunk_id, 'type' AS type FROM lines UNION ALL SELECT b, chunk_id, 'brand' FROM lines)
 SELECT name, min(type) AS type, count(*) AS mentions, count(DISTINCT chunk_id) AS chunks FROM m GROUP BY name""")
 def ent_merge(spark, d):
-    e, _ = _graph(spark, d)
-    return e.select("name", "type", "mentions", F.size("chunks").cast("bigint").alias("chunks"))
+    e, _ = entity.merged_with_counts(entity.cleaned(entity.parsed(_outputs(spark, d))))
+    return e.select("name", "type", "mentions", F.col("n_chunks").alias("chunks"))
 
 
 @query(f"WITH {LINES_SQL} SELECT least(a, b) AS source, greatest(a, b) AS target, 'made of' AS description, count(*) AS weight FROM lines WHERE a <> b GROUP BY ALL")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrank.functions import embed
-from loomrank.operators import chunking, graph, lexical, vector
+from loomrank.operators import chunking, entity, graph, lexical, vector
 from loomrank.plans import graphs
 
 
@@ -186,3 +186,14 @@ def test_bm25_without_postings_equals_the_joins(spark, monkeypatch):
     assert got == {(a.qid, a.doc_id, round(a.score, 5), a.rank) for a in lexical.bm25(docs, queries, 7).collect()} and len(got) == 140
     monkeypatch.undo()
     assert lexical.bm25(docs.limit(0), queries, 7).count() == 0
+
+
+def test_merged_descriptions_are_told_apart_before_they_are_listed(spark, data):
+    """In the order of their first places; a name's chunks are listed only where they are read."""
+    said = ["entity|Oak|tree|tall", "entity|oak||old\nentity|OAK|wood|tall", "entity|oak||tall\nrelation|Oak|Elm|near\nentity|Elm||", "entity|oak|x|green\nentity|oak||"]
+    lines = entity.cleaned(entity.parsed(spark.createDataFrame(list(enumerate(said)), "chunk_id int, output string")))
+    e, _ = entity.merged(lines)
+    assert {tuple(map(str, r)) for r in e.collect()} == {("oak", "Oak", "tree", "tall old green", "[0, 1, 2, 3]", "6"), ("elm", "Elm", "", "", "[2]", "1")}
+    merge, prune = plan(graphs.ent_merge(spark, data)), plan(graphs.ent_prune(spark, data))
+    assert "collect_list(chunk_id" not in merge + prune
+    assert "collect_list(CASE" not in merge + prune and "collect_list(if" not in merge + prune
