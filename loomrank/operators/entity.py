@@ -11,6 +11,7 @@ from loomrank.functions import vectors as V
 GENERIC = frozenset("a an the it he she they we this that these those thing things entity item object concept system some one".split())
 NODE_FLOOR = FACT_FLOOR = 0.30
 NODE_TOP, FACT_TOP, FACT_NODES, SHOWN = 24, 12, 8, 14
+PART = 50000
 
 
 def _fields(line):
@@ -22,6 +23,10 @@ def parsed(outputs: DataFrame, tagged: bool = False) -> DataFrame:
     """(chunk_id, ord, kind, a, b, description) of a model's lines (chunk_id, output): ``entity|name|type|description``
     and ``relation|source|target|description``; other lines are ignored.  Tagged lines have a passage number, counted from
     1, after the kind, which chunk_id then is an array for."""
+    # a small file may hold very many outputs: a task gets at most about PART of them, however many there are
+    parts = 1 if outputs.isStreaming else -(-outputs.count() // PART)
+    if parts > 1:
+        outputs = outputs.repartition(parts, "chunk_id")
     rows = outputs.select("chunk_id", F.posexplode(F.split("output", "\n")).alias("ord", "line")).withColumn("f", _fields(F.col("line")))
     kind = F.lower(F.get("f", F.lit(0)))
     at = 1
